@@ -35,7 +35,6 @@ HINT = re.compile(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)", re.I)
-WHITE = re.compile(r"\s+")
 
 
 class Node:
@@ -171,7 +170,7 @@ def blocks(node: Node, deleted: frozenset[int]) -> list[str]:
     run: list[str] = []
 
     def end() -> None:
-        if run and (s := WHITE.sub(" ", unescape("".join(run))).strip()):
+        if run and (s := " ".join(unescape("".join(run)).split())):
             out.append(s)
         run.clear()
 
