@@ -10,6 +10,7 @@ from axisflow.llm.html_templates import extract_main_text
 from axisflow.llm.media import sample_report
 from axisflow.llm.secrets import scan_secrets
 from axisflow.llm.shared import scratch
+from axisflow.llm.shingle_join import similarity_classes
 from axisflow.llm.warc import read_warc, write_warc
 
 
@@ -29,6 +30,10 @@ def op7_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_report(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def op8_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), uri)
@@ -36,7 +41,7 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_templates, op6_entropy_secrets, op7_signature_sniffing, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_site_templates, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op10_dictionary_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
