@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from axisflow.llm.html_templates import extract_main_text
 from axisflow.llm.media import sample_report
+from axisflow.llm.packing import pack_by_retrieval
 from axisflow.llm.secrets import scan_secrets
 from axisflow.llm.shared import scratch
 from axisflow.llm.shingle_join import similarity_classes
@@ -34,6 +36,10 @@ def op8_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_retrieval(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), uri)
@@ -41,7 +47,7 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_templates, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_site_templates, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
