@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axisflow.llm.html_templates import extract_main_text
 from axisflow.llm.media import sample_report
+from axisflow.llm.mixing import mix_sources
 from axisflow.llm.packing import pack_by_retrieval
 from axisflow.llm.secrets import scan_secrets
 from axisflow.llm.shared import scratch
@@ -24,6 +25,11 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mix_sources(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -47,7 +53,7 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_templates, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_site_templates, op3_mix_to_weights, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
