@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from axisflow.llm.html_templates import extract_main_text
 from axisflow.llm.media import sample_report
@@ -14,6 +15,7 @@ from axisflow.llm.packing import pack_by_retrieval
 from axisflow.llm.secrets import scan_secrets
 from axisflow.llm.shared import scratch
 from axisflow.llm.shingle_join import similarity_classes
+from axisflow.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from axisflow.llm.warc import read_warc, write_warc
 
 
@@ -25,6 +27,13 @@ def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_pattern_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix_sources(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,7 +62,7 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_templates, op3_mix_to_weights, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_site_templates, op2_pattern_grammar_toxicity, op3_mix_to_weights, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
