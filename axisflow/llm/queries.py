@@ -12,6 +12,7 @@ from axisflow.llm.html_templates import extract_main_text
 from axisflow.llm.media import sample_report
 from axisflow.llm.mixing import mix_sources
 from axisflow.llm.packing import pack_by_retrieval
+from axisflow.llm.pii import find_pii, fit_candidates
 from axisflow.llm.quality_rules import fit_quality, judge_quality
 from axisflow.llm.secrets import scan_secrets
 from axisflow.llm.shared import scratch
@@ -40,6 +41,10 @@ def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"), fit_candidates(spark))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -69,7 +74,7 @@ def op10_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_templates, op2_pattern_grammar_toxicity, op3_mix_to_weights, op5_decision_list, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
+    return {f.__name__: f for f in (op1_site_templates, op2_pattern_grammar_toxicity, op3_mix_to_weights, op4_boosted_pii, op5_decision_list, op6_entropy_secrets, op7_signature_sniffing, op8_token_combination_join, op9_retrieval_packing, op10_dictionary_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
