@@ -125,7 +125,7 @@ def profiles(docs: DataFrame, words: int, frequent: int, total: int, block: int
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def repeated(sets: list[np.ndarray], rows: int) -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-            keep = counts >= max(2, frequent * rows // (2 * max(total, 1)))
+            keep = counts >= max(4, frequent * rows // (2 * max(total, 1)))
             tokens, counts = tokens[keep], counts[keep]
             none = pa.nulls(len(tokens), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(long_array(tokens)), pa.array(counts.astype(np.int64)), none, pa.array(np.ones(len(tokens), bool))], names=["doc", "n", "digest", "token"])
@@ -163,7 +163,7 @@ def frequent_tokens(counts: DataFrame, least: int, bound: int) -> np.ndarray:
 
 
 def similarity_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, frequent: int = 64, very_frequent: int = 2048, token_bound: int = 250_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, frequent: int = 64, very_frequent: int = 2048, token_bound: int = 250_000, small: int = 32
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link at a Jaccard similarity of `percent` hundredths or more.
 
@@ -171,7 +171,8 @@ def similarity_classes(
     empty set and no links; a text of fewer words than `words` is one shingle. component_id is the
     smallest id reachable over links. Rows that share an id are one document; rows with a null id get
     the class of equal texts, else null. Extra columns are ignored. `token_bound` limits the tokens that
-    are broadcast as frequent; it bears on speed only, any choice gives the same links.
+    are broadcast as frequent; like `small`, the size of a bucket whose pairs are made as rows, it bears
+    on speed only, any choice gives the same links.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -196,24 +197,23 @@ def similarity_classes(
     indexed = rows.filter("doc is not null and text is not null").mapInArrow(index, "digest binary, doc long, n long, bits binary, keys array<long>")
     reps = written(indexed.groupBy("digest").agg(F.min(F.struct("doc", "n", "bits", "keys")).alias("r")).select("r.*"), "representatives")
     keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
-    leaders = written(keyed.groupBy("key").agg(F.min(F.struct("n", "doc")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("least"), "size"), "leaders")
-    buckets = written(keyed.join(leaders, "key").select("key", "doc", "n", "leader", "least", "size"), "buckets")
+    leaders = written(keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("leader_n"), "size"), "leaders")
+    buckets = written(keyed.join(leaders, "key").select("key", "doc", "n", "leader", "leader_n", "size"), "buckets")
 
-    near = F.expr(f"100 * least >= {percent} * n")
-    stars = buckets.filter(F.col("doc") != F.col("leader")).filter(near).select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    links = written(verified(stars, reps, rows, words, percent), "links")
+    # each document against one leader, the smallest; much of a large group is of one class then
+    stars = buckets.filter("doc <> leader").filter(near("n", "leader_n", percent)).groupBy("doc").agg(F.min("leader").alias("leader"))
+    links = verified(stars.select(F.col("leader").alias("a"), F.col("doc").alias("b")), reps, rows, words, percent)
     class_of = components(links)
 
-    many = buckets.filter("size > 2 and doc <> leader").select("key", "doc", "n")
-    many = many.join(class_of, "doc", "left").select("key", "doc", "n", F.coalesce("comp", "doc").alias("comp"))
-    open_keys = many.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    many = written(many.join(written(open_keys, "keys"), "key"), "open")
-    if not many.isEmpty():
-        x, y = (many.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "comp"))) for s in "ab")
-        cross = x.join(y, "key").filter("doc_a < doc_b and comp_a <> comp_b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        more = written(verified(cross.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct(), reps, rows, words, percent), "links")
-        if not more.isEmpty():
-            class_of = components(links.unionByName(more))
+    # then all pairs of a bucket that are of different classes
+    classed = buckets.select("key", "doc", "n", "size").join(class_of, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    open_keys = classed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+    many = written(classed.join(written(open_keys, "keys"), "key"), "open")
+    x, y = (many.filter(F.col("size") <= small).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "comp"))) for s in "ab")
+    cross = x.join(y, "key").filter("doc_a < doc_b and comp_a <> comp_b").filter(near("n_a", "n_b", percent)).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    more = verified(cross.unionByName(close_pairs(many.filter(F.col("size") > small), reps, percent)).distinct(), reps, rows, words, percent)
+    if not more.isEmpty():
+        class_of = components(links.unionByName(more))
 
     copies = own.filter("digest is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = copies.join(class_of, "doc", "left").select("digest", F.coalesce("comp", "doc").alias("shared"))
@@ -221,6 +221,51 @@ def similarity_classes(
     return out.join(class_of, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("shared", "comp", "doc").alias("component_id"))
 
 
+def near(x: str, y: str, percent: int):
+    """Whether sets of these sizes can be similar enough."""
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+
+
+def close_pairs(members: DataFrame, reps: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
+    """Pairs (a, b) of large buckets that are of different classes and that bitmaps do not prove apart.
+
+    A bucket is cut into chunks of about `chunk` members; a task compares two of these, in memory, and
+    lets only the survivors out, so that no bucket is ever in one task or written as pairs.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        n = table.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        n, doc, comp, part = n[order], table.column("doc").to_numpy()[order], table.column("comp").to_numpy()[order], table.column("part").to_numpy()[order]
+        bits = table.column("bits").take(pa.array(order)).to_pylist()
+        size = np.array([len(b) for b in bits])
+        same = len(np.unique(part)) == 1
+        out_a, out_b = [], []
+        for width in np.unique(size).tolist():
+            rows = np.flatnonzero(size == width)
+            own = np.frombuffer(b"".join(bits[i] for i in rows), np.uint64).reshape(len(rows), -1)
+            wide = np.flatnonzero(size == 2 * width)
+            halves = np.frombuffer(b"".join(bits[i] for i in wide), np.uint64).reshape(len(wide), 2, -1) if len(wide) else np.empty((0, 2, width // 8), np.uint64)
+            others, them = np.concatenate([own, halves[:, 0] ^ halves[:, 1]]), np.concatenate([rows, wide])
+            for k, i in enumerate(rows.tolist()):
+                last = np.searchsorted(n, 100 * n[i] // percent, side="right")
+                some = np.flatnonzero((them > i) & (them < last) & (comp[them] != comp[i]) & (same | (part[them] != part[i])))
+                if len(some):
+                    apart = np.bitwise_count(others[some] ^ own[k]).sum(axis=1).astype(np.int64)
+                    common = (n[i] + n[them[some]] - apart) // 2
+                    hit = them[some[100 * common >= percent * (n[i] + n[them[some]] - common)]]
+                    out_a.append(np.minimum(doc[i], doc[hit]))
+                    out_b.append(np.maximum(doc[i], doc[hit]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(out_a or empty)), "b": pa.array(np.concatenate(out_b or empty))})
+
+    parts = F.ceil(F.col("size") / chunk).cast("int")
+    part = F.pmod(F.xxhash64("doc"), parts).cast("int")
+    cells = members.join(reps.select("doc", "bits"), "doc").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = cells.select("key", F.least("part", "other").alias("u"), F.greatest("part", "other").alias("v"), "doc", "n", "comp", "part", "bits")
+    return cells.groupBy("key", "u", "v").applyInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that really link: first a proof by bitmaps that most do not, then the whole sets."""
 
@@ -249,4 +294,4 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, per
     lefts = text.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), "text")
     lefts = lefts.mapInArrow(sets, "a long, tokens binary").withColumnRenamed("tokens", "tokens_a")
     rights = text.withColumnRenamed("doc", "b").join(pairs, "b").select("a", "b", "text").mapInArrow(sets, "a long, b long, tokens binary").withColumnRenamed("tokens", "tokens_b")
-    return rights.join(lefts, "a").mapInArrow(check, "a long, b long")
+    return written(rights.join(lefts, "a").mapInArrow(check, "a long, b long"), "links")
