@@ -120,7 +120,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = placed.filter("size > 0").select("rank", "doc_id", "start", "end", "row", F.explode(F.sequence(first, last)).alias("at"))
     begin = F.col("at") * block_words
     part_words = (F.least(F.col("end"), begin + block_words) - F.greatest(F.col("start"), begin)) * F.col("times")
-    taken = spans.join(times, ["rank", "at"]).groupBy("rank", "start", "row").agg(F.sum(part_words).alias("taken"))
+    # Spark takes rows that a few counts expand to for few: both sides are large
+    taken = spans.join(times.hint("merge"), ["rank", "at"]).groupBy("rank", "start", "row").agg(F.sum(part_words).alias("taken"))
     taken = taken.withColumn("some", F.lit(True))
     out = placed.withColumn("some", F.col("size") > 0).join(taken, ["rank", "start", "row", "some"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")), slots
@@ -134,7 +135,8 @@ def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, s
     quota = F.least(passes * blocks + F.round(part * blocks / F.col("source_size")), blocks * cap).cast("long")
     due = sources.filter("source_size > 0").select("rank", blocks.cast("long").alias("blocks"), quota.alias("quota"))
     due = written(due, "quotas")
-    shards = max(1, -(-(due.agg(F.sum("quota")).first()[0] or 0) // shard_slots))
+    total = due.agg(F.sum("quota")).first()[0] or 0
+    shards = max(1, -(-total // shard_slots))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,4 +161,4 @@ def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, s
                         block[here] = permuted(slot[here] % blocks, blocks, xxhash.xxh3_64_intdigest(f"{seed}:{rank}:{turn}"))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(np.full(len(slot), rank)), pa.array(block)], names=["shard", "slot", "source_rank", "block"])
 
-    return drawn.filter("n > 0").repartition(F.col("rank"), F.col("shard")).mapInArrow(place, "shard long, slot long, source_rank long, block long")
+    return drawn.filter("n > 0").repartition(1 + total // (16 * shard_slots), "rank", "shard").mapInArrow(place, "shard long, slot long, source_rank long, block long")
