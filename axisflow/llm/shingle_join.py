@@ -226,7 +226,7 @@ def near(x: str, y: str, percent: int):
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
-def close_pairs(members: DataFrame, reps: DataFrame, percent: int, chunk: int = 512) -> DataFrame:
+def close_pairs(members: DataFrame, reps: DataFrame, percent: int, chunk: int = 2048) -> DataFrame:
     """Pairs (a, b) of large buckets that are of different classes and that bitmaps do not prove apart.
 
     A bucket is cut into chunks of about `chunk` members; a task compares two of these, in memory, and
