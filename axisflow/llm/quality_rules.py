@@ -166,12 +166,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if len({y for _, y in picked}) < 2:
         return []
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, known.schema))  # at most `sample` numbers
-    joined = docs.join(chosen, docs[id_col] == chosen["_id"]).select(docs[text_col].alias("text"), "_id", "_y")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    joined = texts.join(chosen, texts["_doc"] == chosen["_id"]).select("text", "_id", "_y")
     rows = with_statistics(joined).select("_id", "_y", base_failed().alias("_failed"), *FEATURES).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_y"], tuple(r[f] for f in FEATURES)))
     return decision_list([({f: float(r[f]) for f in FEATURES}, r["_y"] == 0) for r in rows if not r["_failed"]])
 
 
 def judge_quality(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """Adds the counts, base_failed and kept (the list's verdict on rows that pass the base)."""
+    """Adds the counts, base_failed and kept (the list's verdict on rows that pass the base).
+
+    A null or empty text has no words and fails the base; repeated rows are judged alike; an empty table
+    stays empty; columns of `docs` that have the name of an added one are replaced.
+    """
     return with_statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & as_column(rules))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # The words that the grammar knows without labels.
 INSULTS = "asshole bastard bitch clown cretin cunt degenerate dickhead disgusting dumb dumbass fool freak idiot imbecile jerk loser moron parasite pathetic pig retard scum scumbag slut stupid subhuman trash vermin whore worthless".split()
@@ -237,7 +238,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not picked:
         return Lexicon({}, {}), DEFAULT_CURVE
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, known.schema))  # at most twice `sample` numbers
-    table = docs.join(chosen, docs[id_col] == chosen["_id"]).select(docs[text_col].cast("string").alias("text"), "_y").toArrow()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    table = texts.join(chosen, texts["_doc"] == chosen["_id"]).select("text", "_y").toArrow()
     rows = [(t or "", y) for t, y in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
     lexicon = Lexicon(*learned(rows))
     return lexicon, fitted([features(t, lexicon) for t, _ in rows], [y for _, y in rows])
@@ -259,10 +261,11 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, tuple[float, ...]], te
             for value in batch.column(batch.num_columns - 1):
                 z = curve[0] + sum(a * b for a, b in zip(curve[1:], features(value.as_py() or "", shared.value)))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*batch.schema.names[:-1], "_score"])
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(score, rows.drop("_text").schema.add(score_col, "double"))
+    plain = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))  # no name clashes
+    schema = StructType([*plain.schema.fields[:-1], StructField("_score", DoubleType())])
+    return plain.mapInArrow(score, schema).toDF(*keep, score_col)
 
 
 def held_out(id_col: str = "doc_id"):
