@@ -19,8 +19,8 @@ from axisflow.llm.toxicity import fit_toxicity, held_out, score_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below 0.5; its words are learned from `labels`, as in the query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
-    scored = score_toxicity(docs, fit_toxicity(docs, labels), score_col="_score")
-    return scored.filter("_score < 0.5").select(docs.columns)
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), score_col="_axisflow_score")
+    return scored.filter("_axisflow_score < 0.5").select(docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     if nameless.isEmpty():
         return kept
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = docs.filter("doc_id is not null").select(F.sha2(text, 256).alias("_text"))
-    nameless = nameless.withColumn("_text", F.sha2(text, 256)).join(known, "_text", "left_anti").dropDuplicates(["_text"])
+    known = docs.filter("doc_id is not null").select(F.sha2(text, 256).alias("_axisflow_text"))
+    nameless = nameless.withColumn("_axisflow_text", F.sha2(text, 256)).join(known, "_axisflow_text", "left_anti").dropDuplicates(["_axisflow_text"])
     return kept.unionByName(nameless.select(docs.columns))
 
 
@@ -48,13 +48,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes their words: the fraction is rounded up or down by a hash, so that sums hold."""
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    taken, _ = mix_sources(rows, id_col="_row")
-    share = taken.groupBy(F.col("doc_id").alias("_row")).agg((F.sum("taken") / F.sum("size")).alias("_share")).filter("_share > 0")
-    chance = F.pmod(F.xxhash64("_row", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    times = written(share.select("_row", F.floor(F.col("_share") + chance).cast("int").alias("_times")).filter("_times > 0"), "times")
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """Whole documents, as often as the mix takes their words: the fraction is rounded up or down by a hash, so that sums hold.
+
+    Documents without words have nothing to take and go; an empty table stays empty.
+    """
+    rows = docs.withColumn("_axisflow_row", F.xxhash64(*docs.columns))
+    taken, _ = mix_sources(rows, id_col="_axisflow_row")
+    share = taken.groupBy(F.col("doc_id").alias("_axisflow_row")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_axisflow_share")).filter("_axisflow_share > 0")
+    chance = F.pmod(F.xxhash64("_axisflow_row", F.lit(7)), F.lit(1_000_000)) / 1_000_000
+    times = written(share.select("_axisflow_row", F.floor(F.col("_axisflow_share") + chance).cast("int").alias("_axisflow_times")).filter("_axisflow_times > 0"), "times")
+    return rows.join(times, "_axisflow_row").withColumn("_axisflow_copy", F.explode(F.sequence(F.lit(1), "_axisflow_times"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
