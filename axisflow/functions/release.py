@@ -169,8 +169,8 @@ def calibration_group(*columns: Column) -> Column:
 
 
 def nearest_suffix(label_: Column) -> Column:
-    """The reserved suffix of the most similar length; of equals, the shortest."""
-    options = [F.struct(F.abs(F.char_length(label_) - len(s)).alias("d"), F.lit(len(s)).alias("n"), F.lit(s).alias("s")) for s in RESERVED_SUFFIXES]
+    """The reserved suffix of the most similar length; of equals, the shortest, then the first."""
+    options = [F.struct(F.abs(F.char_length(label_) - len(s)).alias("d"), F.lit(len(s)).alias("n"), F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(RESERVED_SUFFIXES)]
     return F.array_min(F.array(*options))["s"]
 
 
