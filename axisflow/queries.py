@@ -41,22 +41,23 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 # --- sketches, priors, scores -------------------------------------------------------------------
 
-N_AXES = 32  # the first vectors stand for axes
+N_AXES = 32  # axes by a formula that both sides know
+AXIS_SQL = f"axes AS (SELECT CAST(c AS INTEGER) AS cone, [sin((c + 1.0) * (j + 1.0)) / sqrt(32.0) for j in range(0, 64)] AS axis FROM range(0, {N_AXES}) t(c))"
 
 
 def model_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "embeddings")
-    return e, e.filter(F.col("vec_id") < N_AXES).select(F.col("vec_id").cast("int").alias("cone"), F.col("embedding").alias("axis"))
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.sin((F.col("id") + 1.0) * (j + 1.0)) / F.sqrt(F.lit(32.0)))
+    return table(spark, d, "embeddings"), spark.range(N_AXES).select(F.col("id").cast("int").alias("cone"), axis.alias("axis"))
 
 
 SKETCH_SQL = f"""
-sims AS (SELECT v.vec_id, v.label, CAST(a.vec_id AS INTEGER) AS cone, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) AS sim
-         FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < {N_AXES}) a),
+{AXIS_SQL},
+sims AS (SELECT v.vec_id, v.label, a.cone, list_dot_product(CAST(v.embedding AS DOUBLE[]), a.axis) AS sim FROM embeddings v CROSS JOIN axes a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cone) AS rank FROM sims),
 tops AS (SELECT *, exp(10.0 * (sim - max(sim) OVER (PARTITION BY vec_id))) AS e FROM ranked WHERE rank <= 8),
 sketch AS (SELECT vec_id, label, cone, rank, sim, e / sum(e) OVER (PARTITION BY vec_id) AS weight FROM tops)"""
 PRIOR_SQL = SKETCH_SQL + f""",
-cones AS (SELECT CAST(vec_id AS INTEGER) AS cone FROM embeddings WHERE vec_id < {N_AXES}),
+cones AS (SELECT cone FROM axes),
 parts AS (SELECT CASE WHEN label < 5 THEN NULL ELSE 'f' || label END AS family, cone, weight FROM sketch),
 totals AS (SELECT family, sum(weight) AS total FROM parts GROUP BY family),
 mass AS (SELECT family, cone, sum(weight) AS mass FROM parts GROUP BY family, cone),
