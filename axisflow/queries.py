@@ -582,6 +582,47 @@ def event_sessions(spark, d):
     return session_counts(table(spark, d, "events"), "user_id").select("user_id", "start", "events")
 
 
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE printf('row-%012d', c_custkey) END AS row_id, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS artifact, "
+    "CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE CAST(c_nationkey AS DOUBLE) END AS score, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag, regexp_replace(lower(c_name), '[^a-z0-9_.:-]+', '_', 'g') AS slug, "
+    "CASE WHEN len(c_mktsegment) <= 5 THEN 'test' WHEN len(c_mktsegment) <= 8 THEN 'invalid' ELSE 'localhost' END AS suffix FROM customer"
+)
+def row_fields(spark, d):
+    c = table(spark, d, "customer")
+    third, odd = F.col("c_custkey") % 3, F.col("c_custkey") % 2 == 1
+    return c.select(
+        "c_custkey", R.private_row_id(F.when(third == 0, F.col("c_custkey").cast("string")).otherwise(""), F.lit(None).cast("string"), F.col("c_custkey")).alias("row_id"), R.first_nonempty(F.when(third == 0, F.col("c_name")), F.lit(""), F.col("c_mktsegment")).alias("artifact"),
+        R.optional_double(F.when(odd, "nan").otherwise(F.col("c_acctbal").cast("string")), F.col("c_nationkey").cast("string")).alias("score"), R.optional_bool(F.when(third == 0, " Yes ").when(third == 1, "0").otherwise("maybe")).alias("flag"), R.slug(F.col("c_name")).alias("slug"), R.nearest_suffix(F.col("c_mktsegment")).alias("suffix"),
+    )
+
+
+@query("""SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS hash FROM nation""")
+def integrity_hashes(spark, d):
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", R.integrity_hash(["n_regionkey", "n_nationkey", "n_name"]).alias("hash"))
+
+
+@query("SELECT c_custkey, rtrim(replace(replace(to_base64(encode(c_name)), '+', '-'), '/', '_'), '=') AS base64, lower(hex(encode(c_name))) AS hex FROM customer")
+def encoding_layers(spark, d):
+    return table(spark, d, "customer").select("c_custkey", H.base64url_layer(F.col("c_name")).alias("base64"), F.lower(F.hex(F.encode("c_name", "UTF-8"))).alias("hex"))
+
+
+@query(
+    "WITH k AS (SELECT l_returnflag, count(*) FILTER (l_quantity > 40) AS k, count(*) AS n FROM lineitem GROUP BY 1), w AS (SELECT *, k / n AS p, 3.841458820694124 / n AS c FROM k) "
+    "SELECT l_returnflag, round(greatest((p + c / 2) / (1 + c) - sqrt(p * (1 - p) * c + c * c / 4) / (1 + c), 0), 9) + 0.0 AS low, round(least((p + c / 2) / (1 + c) + sqrt(p * (1 - p) * c + c * c / 4) / (1 + c), 1), 9) + 0.0 AS high FROM w"
+)
+def wilson_intervals(spark, d):
+    k = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") > 40).alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = certify.wilson(F.col("k"), F.col("n"))
+    return rounded(k.select("l_returnflag", low.alias("low"), high.alias("high")), "low", "high", digits=9)
+
+
+@query(f"WITH {LETTERS_SQL} SELECT o_orderkey, CASE WHEN a = b THEN a ELSE 'U' END AS label FROM y WHERE a = b AND a <> 'U' ORDER BY o_orderkey LIMIT 100")
+def first_labelled_rows(spark, d):
+    """A sampling operator: the first labelled rows in order."""
+    return labels.select_rows(annotated(spark, d), labels.resolved_label("both-disagree-unknown", F.col("r"), F.col("a"), F.col("b")), max_rows=100, order=["o_orderkey"]).select("o_orderkey", "label")
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Scores, thresholds by group and decisions of all vectors."""
     return fitted_model(spark, d)

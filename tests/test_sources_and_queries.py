@@ -99,7 +99,7 @@ def test_gates(spark, tmp_path):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
             return "NULL"
         if hasattr(x, "isoformat"):
             return str(pd.Timestamp(x).tz_localize(None))
