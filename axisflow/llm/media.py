@@ -116,9 +116,24 @@ def _bmp(d: bytes, at: int) -> int:
     return size if not zero and head in (12, 40, 52, 56, 108, 124) and 14 + head <= pixels <= size <= len(d) - at else 0
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
+class Finder:
+    """Next occurrences in one blob; asked from left to right, it searches each stretch once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        since, found = self.known.get(what, (0, -2))
+        if found == -2 or since > at or -1 < found < at:
+            found = self.data.find(what, at)
+            self.known[what] = at, found
+        return found
+
+
+def _pdf(d: bytes, at: int, find: Finder | None = None) -> int:
+    find = find or Finder(d)
+    end, start = find(b"%%EOF", at), find(b"startxref", at)
+    return end + 5 - at if -1 < start < end else 0
 
 
 def _zip(d: bytes, at: int) -> int:
@@ -175,12 +190,12 @@ def sniff(data: bytes) -> tuple[str | None, int, list[tuple[str, int, int]]]:
 
     Media inside a confirmed medium other than the outermost are its own parts and not reported again.
     """
-    outer, length, inside, free = None, 0, [], 0
+    outer, length, inside, free, find = None, 0, [], 0, Finder(data)
     for end, (back, kind) in automaton().iter(data.decode("latin-1")):
         at = end - back
         if at < free or at < 0:
             continue
-        if n := VALIDATORS[kind](data, at):
+        if n := _pdf(data, at, find) if kind == "application/pdf" else VALIDATORS[kind](data, at):
             kind = RIFF_FORMS[data[at + 8 : at + 12]] if kind == "riff" else kind
             if at == 0:
                 outer, length = kind, n

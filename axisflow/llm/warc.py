@@ -138,7 +138,8 @@ def write_warc(pages: DataFrame, uri: str, segment_bytes: int = 24 << 20, dict_b
 
     Returns the manifest (file, records, raw_bytes, stored_bytes), itself written to `uri`/manifest,
     which names exactly the files of the successful attempts: a lost and repeated task writes new
-    names, so no reader sees half a file. A null html is an empty payload; a null url and a null
+    names, so no reader sees half a file. Characters that a header cannot hold are percent-encoded in the
+    url. A null html is an empty payload; a null url and a null
     page_id are kept as such; repeated rows are all written, and rows that tie on the largest
     page_id are all responses. An empty table gives an empty manifest.
     """

@@ -135,6 +135,8 @@ def test_sniffing(spark):
     for blob, kind in ((png(), "image/png"), (gif, "image/gif"), (jpeg, "image/jpeg"), (media.wav(b"abc"), "audio/wav"), (gz, "application/gzip")):
         assert media.sniff(blob)[:2] == (kind, len(blob)), kind
         assert media.sniff(blob[:-1])[0] is None
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF"
+    assert media.sniff(pdf)[:2] == ("application/pdf", len(pdf)) and media.sniff(b"%PDF-" * 20_000)[2] == []
     kinds = media.sniff(inside)
     assert kinds[0] is None and [k for k, *_ in kinds[2]] == ["image/png", "image/gif", "application/gzip"] and media.carve(inside, kinds[2])[0] == png()
     df = spark.createDataFrame([(1, png(), "image/gif"), (2, None, "image/png"), (3, bytearray(b""), None)], "id long, blob binary, kind string")
