@@ -41,7 +41,7 @@ class WordIds:
     strings are encoded whole. At most `bound` words are kept.
     """
 
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -118,7 +118,7 @@ def long_array(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def profiles(docs: DataFrame, words: int, frequent: int, total: int, block: int = 4_000_000) -> DataFrame:
+def profiles(docs: DataFrame, words: int, frequent: int, total: int, block: int = 2_000_000) -> DataFrame:
     """A row of each document (doc, n, digest of its set), and rows of tokens (doc is null) that a
     block of documents repeats often enough to make them candidates for the frequent classes."""
 

@@ -103,7 +103,7 @@ def clause_score(symbols: list[str], weights: list[float]) -> float:
 class Lexicon:
     """Symbol and weight of a word, by whole words and by beginnings of words; the answers for raw words are kept, at most `bound`."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], bound: int = 500_000):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], bound: int = 200_000):
         self.words: dict[str, tuple[str, float]] = {}
         for symbol, known in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)):
             self.words |= {w: (symbol, 4.0) for w in known}
