@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import types as T
 
 from axisflow import queries
-from axisflow.plans import gates
+from axisflow.plans import gates, reports
 from axisflow.plans.cli import main
 from axisflow.sources import benchmark, text
 from axisflow.streaming import refresh
@@ -130,3 +130,13 @@ def test_schema_of_ordinals(spark):
     df = spark.createDataFrame([("b", 2), ("a", 1)], "value string, ord int")
     assert [(r["value"], r["n"]) for r in text.numbered(df).orderBy("n").collect()] == [("a", 0), ("b", 1)]
     assert text.unique_longer(spark.createDataFrame([("abcdef", 2), ("abcdef", 1), ("abc", 0)], "value string, ord int")).collect()[0]["ord"] == 1
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("resolved_benign", "train", "dns_host", "withheld"), ("unresolved", "test", "dns_host", "withheld")], "label string, split string, source_family string, time_bucket string")
+    assert "- dns_host: 2" in reports.data_card(rows, "v1")
+    files = reports.stage_manifests(rows, tmp_path / "m", "v1")
+    assert len(files) == 9 and json.loads(files[3].read_text())["histograms"]["label"] == {"resolved_benign": 1, "unresolved": 1}
+    audit = reports.audit_document(rows.selectExpr("count(*) AS n_rows"), rows.selectExpr("named_struct('status', 'pass', 'n_findings', 0) AS scan").limit(1))
+    assert "| scan | pass (0) |" in reports.audit_markdown(audit) and audit["n_rows"] == 2
+    assert reports.row_at(spark.range(5).withColumnRenamed("id", "n"), -2).first()["n"] == 3
