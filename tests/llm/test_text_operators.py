@@ -278,9 +278,12 @@ def test_grammar_weighs_context():
 
 
 def test_learned_words_need_evidence():
-    rows = [(f"text {i} vequta{i} and more words {i}", 1) for i in range(40)] + [(f"plain {i} and other words {i}", 0) for i in range(200)]
+    tail = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(f"x{tail(i)} vequta{tail(i)} y{tail(i)} and z{tail(i)}", 1) for i in range(40)] + [(f"x{tail(i)} plain y{tail(i)} and z{tail(i)}", 0) for i in range(100, 300)]
     found, beginnings = toxicity.learned(rows)
-    assert not found.keys() & {"and", "words"} and any("vequta".startswith(b) for b in beginnings)
+    assert "and" not in found and any("vequta".startswith(b) for b in beginnings) and not any(b[0] in "xyz" for b in beginnings)
+    copies = [("the same words of one text", 1)] * 40 + rows[40:]
+    assert toxicity.learned(copies) == ({}, {})
 
 
 PAGES = [
