@@ -1,16 +1,17 @@
 """Retrieval packing: related documents share a window.
 
-Documents are tokenized and cut into shards of bounded size; each shard has its own BM25 inverted
-index over token ids. A seed document opens a window, the index ranks the shard's unused documents
-against it, and they fill the window greedily, best first, the last one cut to fit. What no longer
-fills a window goes into sequences whose lengths are powers of two, so that nothing is padded.
+Documents are tokenized; BM25 postings over token ids, with frequencies and mean length of the whole
+table, lie in shards of bounded size. A seed document opens a window, every shard ranks its unused
+documents against it, and the best of the whole table fill the window greedily, the last one cut to
+fit. Seeds are searched in waves; one whose best were all taken meanwhile is searched again. What no
+longer fills a window goes into sequences of powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axisflow.llm.shared import scratch, written
+
 END = 1  # fixed value: the id that ends a document
 MARK = "\x01"
 #: Words of letters, perhaps within punctuation: the tokenizer cuts these at the changes between both.
@@ -110,130 +113,348 @@ def word_ids(path: str) -> WordIds:
 
 
 class Index:
-    """BM25 postings of one shard, without terms that over half of the documents hold: their weight is 0."""
+    """BM25 postings of documents; terms that over half of all documents hold weigh 0 and are left out.
+
+    `terms` and `counts` are those of each document. Without `known`, the idf of each term and the mean
+    length, the documents are the whole table.
+    """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-        n = len(docs)
-        self.n = n
-        self.terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, known: tuple[np.ndarray, float] | None = None, lengths: list[int] | None = None):
+        self.n = n = len(docs)
+        pairs = docs if lengths is not None else [np.unique(d, return_counts=True) for d in docs]
+        self.terms, counts = zip(*pairs)
+        length = np.array([len(d) for d in docs] if lengths is None else lengths, np.float64)
         sizes = np.array([len(t) for t in self.terms])
         term, doc = np.concatenate(self.terms), np.repeat(np.arange(n), sizes)
-        tf, length = np.concatenate(counts).astype(np.float64), np.array([len(d) for d in docs], np.float64)
-        order = np.argsort(term, kind="stable")
-        term, self.doc, tf = term[order], doc[order], tf[order]
-        self.names, self.first, df = np.unique(term, return_index=True, return_counts=True)
-        self.idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-        self.last = self.first + df
-        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / length.mean()))
-        self.weight = weight * np.repeat(self.idf, df)
+        tf = np.concatenate(counts).astype(np.float64)
+        if known is None:
+            names, df = np.unique(term, return_counts=True)
+            idf = np.zeros(int(names[-1]) + 1)
+            idf[names] = idf_of(df, n)
+            known = idf, length.mean()
+        idf, mean = known
+        some = np.flatnonzero(idf[term] > 0)
+        some = some[np.argsort(term[some], kind="stable")]
+        term, self.doc, tf = term[some], doc[some], tf[some]
+        self.weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / mean)) * idf[term]
+        self.names, self.first = np.unique(term, return_index=True)
 
     def scores(self, seed: int) -> np.ndarray:
-        at = np.searchsorted(self.names, self.terms[seed])
-        at = at[self.idf[at] > 0]
-        if not len(at):
+        return Postings(self.names, self.first, self.doc, self.weight, self.n).scores(self.terms[seed])
+
+
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+
+class Postings:
+    """Documents and weights by term; `first` is where each of the `names` begins."""
+
+    def __init__(self, names: np.ndarray, first: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
+        self.doc, self.weight, self.n = doc.astype(np.int64), weight.astype(np.float64), n
+        self.slot = np.full(int(names[-1]) + 1 if len(names) else 1, -1)
+        self.slot[names] = np.arange(len(names))
+        self.ends = [*first.tolist(), len(doc)]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        at = self.slot[terms[terms < len(self.slot)]]
+        cuts = [(self.ends[i], self.ends[i + 1]) for i in at[at >= 0].tolist()]
+        if not cuts:
             return np.zeros(self.n)
-        starts, sizes = self.first[at], self.last[at] - self.first[at]
-        ends = np.cumsum(sizes)
-        hits = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-        return np.bincount(self.doc[hits], self.weight[hits], self.n)
-
-
-def pack_shard(docs: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of pieces (document, start, length); each token is in one piece."""
-    start = np.zeros(len(docs), np.int64)
-    left = np.array([len(d) for d in docs], np.int64)
-    index = Index(docs) if len(docs) > 1 else None
-    open_: list[tuple[int, int, int]] = []
-    for seed in range(len(docs)):
-        while left[seed] >= window:
-            yield [(seed, int(start[seed]), window)]
-            start[seed] += window
-            left[seed] -= window
-        if not left[seed]:
-            continue
-        pieces, space = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed])
-        left[seed] = 0
-        if not left.any():
-            open_ = pieces
-            break
-        ranked = np.argsort(-index.scores(seed), kind="stable")
-        ranked = ranked[left[ranked] > 0]
-        while space and len(ranked):
-            fits = np.flatnonzero(left[ranked] <= space)
-            at = int(fits[0]) if len(fits) else 0
-            doc = int(ranked[at])
-            size = min(space, int(left[doc]))
-            pieces.append((doc, int(start[doc]), size))
-            start[doc] += size
-            left[doc] -= size
-            space -= size
-            ranked = np.delete(ranked, at)
-        if space:
-            open_ = pieces
-            break
-        yield pieces
-    # fewer tokens than a window are left: sequences of powers of two
-    rest = sum(size for *_, size in open_)
-    while rest:
-        room = 1 << (rest.bit_length() - 1)
-        rest -= room
-        out = []
-        while room:
-            doc, at, size = open_.pop(0)
-            take = min(size, room)
-            out.append((doc, at, take))
-            room -= take
-            if take < size:
-                open_.insert(0, (doc, at + take, size - take))
-        yield out
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in cuts]), np.concatenate([self.weight[a:b] for a, b in cuts]), self.n)
+
+    def only(self, kept: np.ndarray) -> Postings:
+        """Of the documents that `kept` marks, numbered anew."""
+        here = kept[self.doc]
+        before = np.concatenate([[0], np.cumsum(here)])
+        out = object.__new__(Postings)
+        out.doc, out.weight, out.n = (np.cumsum(kept) - 1)[self.doc[here]], self.weight[here], int(kept.sum())
+        out.slot, out.ends = self.slot, before[self.ends].tolist()
+        return out
+
+
+ROWS = 1 << 29  # fixed value: a rank is the score in 2^-17ths above the row, equal scores by ascending row
+
+
+def ranks(scores: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return ((scores * (1 << 17)).astype(np.int64) << 29) | (ROWS - 1 - rows)
+
+
+def best_of(found: np.ndarray, best: int) -> np.ndarray:
+    return found if len(found) <= best else found[np.argpartition(-found, best - 1)[:best]]
+
+
+class Packer:
+    """Which pieces share a sequence; `left` are the tokens of each row in no sequence yet, its last ones."""
+
+    def __init__(self, length: np.ndarray, window: int):
+        self.window, self.length, self.sequence = window, length, 0
+        self.left = length % window
+        self.rows: list[tuple[int, int, int, int, int]] = []  # row, start, length, sequence, offset
+        self.open: list[tuple[int, list[tuple[int, int, int]]]] = []  # windows to be searched for again
+        self.next = 0
+
+    def whole(self) -> Iterator[np.ndarray]:
+        """The full windows of long documents, as sequences of their own."""
+        for at in range(0, len(self.length), 1 << 18):
+            n = self.length[at : at + (1 << 18)] // self.window
+            row = np.repeat(np.arange(at, at + len(n)), n)
+            turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield np.stack([row, turn * self.window, np.full(len(row), self.window), self.sequence + np.arange(len(row)), np.zeros(len(row), np.int64)], 1)
+            self.sequence += len(row)
+
+    def close(self, pieces: list[tuple[int, int, int]]) -> None:
+        offset = 0
+        for row, start, size in pieces:
+            self.rows.append((row, start, size, self.sequence, offset))
+            offset += size
+        self.sequence += 1
+
+    def take(self, row: int, space: int) -> tuple[int, int, int]:
+        size = min(space, int(self.left[row]))
+        piece = (row, int(self.length[row] - self.left[row]), size)
+        self.left[row] -= size
+        return piece
+
+    def seeds(self, n: int) -> list[int]:
+        """The open windows' seeds, then the next rows that have tokens left."""
+        more = self.next + np.flatnonzero(self.left[self.next :])[: max(0, n - len(self.open))]
+        return [*(s for s, _ in self.open), *more.tolist()]
+
+    def deal(self, seeds: list[int], ranked: Callable[[int], np.ndarray]) -> None:
+        """Fills a window from each seed by its ranked rows: the best that fits, or else the best, cut. One that runs out of rows stays open."""
+        opened, self.open = self.open, []
+        for k, seed in enumerate(seeds):
+            if k < len(opened):
+                pieces = opened[k][1]
+            elif self.left[seed]:
+                pieces = [self.take(seed, self.window)]
+            else:
+                continue
+            space = self.window - sum(size for *_, size in pieces)
+            rows = ranked(k) if space else ()
+            while space:
+                rows = rows[self.left[rows] > 0]
+                if not len(rows):
+                    break
+                fits = np.flatnonzero(self.left[rows] <= space)
+                pieces.append(self.take(int(rows[fits[0] if len(fits) else 0]), space))
+                space -= pieces[-1][2]
+            if space:
+                self.open.append((seed, pieces))
+            else:
+                self.close(pieces)
+        while self.next < len(self.left) and not self.left[self.next]:
+            self.next += 1
+
+    def finish(self) -> None:
+        """No row has tokens left: what open windows hold goes into windows and then sequences of powers of two."""
+        pieces = [p for _, some in self.open for p in some][::-1]
+        rest, self.open = sum(size for *_, size in pieces), []
+        while rest:
+            room = self.window if rest >= self.window else 1 << (rest.bit_length() - 1)
+            rest -= room
+            out = []
+            while room:
+                row, at, size = pieces.pop()
+                take = min(size, room)
+                out.append((row, at, take))
+                room -= take
+                if take < size:
+                    pieces.append((row, at + take, size - take))
+            self.close(out)
+
+    def flush(self) -> np.ndarray:
+        out, self.rows = np.array(self.rows, np.int64).reshape(-1, 5), []
+        return out
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 1024, shard_tokens: int = 2_000_000) -> DataFrame:
+def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 16_384, shard_tokens: int = 16_000_000, wave: int = 4096, best: int = 16, last_docs: int = 2048) -> DataFrame:
     """A row of each piece: the document, where in it and in which sequence the piece is, and its digest.
 
-    `vocabulary` is the tokenizer's file. A shard is a run of at most `shard_docs` documents of a
-    partition, or of about `shard_tokens` tokens; so memory is bounded, nothing is shuffled, and a lost
-    task repeats its own sequences. A null or empty text is its end id alone; equal documents are packed
-    each; null and repeated ids are carried as they are; extra columns are ignored.
+    `vocabulary` is the tokenizer's file. Postings lie in shards of at most `shard_docs` documents or about
+    `shard_tokens` tokens; every seed is ranked against the unused documents of all shards, so neighbours
+    depend on no file, partition or shard; only the order of seeds and equal scores go by the order of
+    rows. At most `wave` seeds are searched at once, for their `best` documents each; the last `last_docs`
+    documents are ranked whole on the driver, which also holds two numbers a row. The work grows with the
+    square of the rows. Full windows of a document are sequences of their own. A null or empty text is its
+    end id alone; equal documents are packed each; null and repeated ids are carried as they are; extra
+    columns are ignored.
     """
+    spark = docs.sparkSession
     fields = [x.split()[0] for x in PIECES.split(", ")]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 32
-        ids, docs, held = [], [], 0
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                encoded = [np.append(x, np.array([END], "<u4")) for x in word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])]
+                terms, counts = zip(*(np.unique(x, return_counts=True) for x in encoded))
+                data = [pa.array([x.astype("<u4").tobytes() for x in c], pa.binary()) for c in (encoded, terms, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(encoded)), pa.int64()), part.column(0), pa.array(map(len, encoded), pa.int64()), *data], names=["row", "_id", "tokens", "ids", "terms", "counts"])
+                row += len(encoded)
+
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
+    keyed = source.select(id_col).schema
+    schema = f"row long, _id {keyed[0].dataType.simpleString()}, tokens long, ids binary, terms binary, counts binary"
+    tokens = written(source.toDF("_id", "_text").mapInArrow(tokenize, schema), "tokens")
+
+    table = tokens.select("row", "tokens").toArrow()
+    order = np.argsort(rows := table.column(0).to_numpy())
+    rows, length = rows[order], table.column(1).to_numpy()[order]
+    if len(rows) >= ROWS:
+        raise ValueError("too many rows for a rank")
+    parts, firsts = np.unique(rows >> 40, return_index=True)
+    base = dict(zip(parts.tolist(), firsts.tolist()))
+
+    def place(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows numbered through."""
+        row = batch.column(0).to_numpy()
+        return np.array([base[p] for p in (row >> 40).tolist()], np.int64) + (row & ((1 << 40) - 1))
+
+    packer = Packer(length, window)
+    folder = scratch(spark, "pieces")
+    columns = ["row", "start", "length", "sequence_id", "offset"]
+
+    def save(part: np.ndarray) -> None:
+        if len(part):
+            part = part.copy()
+            part[:, 0] = rows[part[:, 0]]
+            spark.createDataFrame(pa.table({c: part[:, i] for i, c in enumerate(columns)})).coalesce(1).write.mode("append").parquet(folder)
+
+    spark.createDataFrame([], ", ".join(f"{c} long" for c in columns)).write.parquet(folder)
+    for part in packer.whole():
+        save(part)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(df))
+            n[: len(df)] += df
+            df = n
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
+
+    counted = tokens.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    idf = np.zeros(int(max(counted.column(0).to_pylist(), default=0)) + 1)
+    idf[counted.column(0).to_numpy()] = idf_of(counted.column(1).to_numpy(), len(rows))
+    known = (idf, float(length.mean()) if len(rows) else 1.0)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, sizes, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequence
-            rows = []
-            for pieces in pack_shard(docs, window):
-                offset = 0
-                for doc, start, size in pieces:
-                    rows.append((ids[doc], start, size, zlib.crc32(docs[doc][start : start + size].tobytes()), len(docs[doc]), sequence, offset))
-                    offset += size
-                sequence += 1
-            first, *others = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(first, kind), *(pa.array(c, pa.int64()) for c in others)], names=[id_col, *fields])
+            x = Index(docs, known=known, lengths=sizes)
+            arrays = (np.array(at, "<i8"), x.names.astype("<u4"), x.first.astype("<i8"), x.doc.astype("<i4"), x.weight.astype("<f4"))
+            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["at", "names", "first", "doc", "weight"])
 
         for batch in batches:
-            kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                encoded = word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])
-                for key, found in zip(part.column(0).to_pylist(), encoded):
-                    ids.append(key)
-                    docs.append(np.append(found, np.array([END], "<u4")))
-                    held += len(found) + 1
-                    if len(docs) >= shard_docs or held >= shard_tokens:
-                        yield flush()
-                        ids, docs, held = [], [], 0
+            for row, n, *pair in zip(place(batch).tolist(), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                at.append(row)
+                sizes.append(n)
+                docs.append(tuple(np.frombuffer(x, "<u4") for x in pair))
+                held += n
+                if len(docs) >= shard_docs or held >= shard_tokens:
+                    yield flush()
+                    at, docs, sizes, held = [], [], [], 0
         if docs:
             yield flush()
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
-    schema = rows.select(id_col).schema
+    postings = None
+
+    def searched(seeds: list[int], terms: list[np.ndarray]) -> list[np.ndarray]:
+        """The best rows for each seed among all that have tokens left."""
+        shared = spark.sparkContext.broadcast((terms, np.packbits(packer.left > 0)))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, bits = shared.value
+            alive = np.unpackbits(bits).astype(bool)
+            found = [np.zeros(0, np.int64)] * len(terms)
+            for batch in batches:
+                for shard in zip(*(c.to_pylist() for c in batch.columns)):
+                    at, names, first, doc, weight = (np.frombuffer(x, kind) for x, kind in zip(shard, ("<i8", "<u4", "<i8", "<i4", "<f4")))
+                    kept = alive[at]
+                    if not kept.any():
+                        continue
+                    index, at = Postings(names, first, doc, weight, len(at)).only(kept), at[kept]
+                    for k, t in enumerate(terms):
+                        more = ranks(index.scores(t), at)
+                        if len(found[k]) == best:
+                            more = more[more > found[k].min()]
+                        found[k] = best_of(np.concatenate([found[k], best_of(more, best)]), best)
+            for k in range(0, len(terms), 256):
+                some = found[k : k + 256]
+                yield pa.RecordBatch.from_arrays([pa.array([k // 256]), pa.array([np.array([len(x) for x in some], "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(some).tobytes()], pa.binary())], names=["bucket", "sizes", "ranks"])
+
+        def merge(group: pa.Table) -> pa.Table:
+            lists: list[list[np.ndarray]] = []
+            for sizes, data in zip(group.column("sizes").to_pylist(), group.column("ranks").to_pylist()):
+                cut = np.split(np.frombuffer(data, "<i8"), np.cumsum(np.frombuffer(sizes, "<i8"))[:-1])
+                lists = [[*x, y] for x, y in zip(lists or [[]] * len(cut), cut)]
+            merged = [best_of(np.concatenate(x), best) for x in lists]
+            return pa.table({"bucket": group.column("bucket")[:1], "sizes": pa.array([np.array([len(x) for x in merged], "<i8").tobytes()], pa.binary()), "ranks": pa.array([np.concatenate(merged).tobytes()], pa.binary())})
+
+        kind = "bucket long, sizes binary, ranks binary"
+        out: list[np.ndarray] = []
+        for r in sorted(postings.mapInArrow(search, kind).groupBy("bucket").applyInArrow(merge, kind).collect(), key=lambda r: r["bucket"]):
+            out += np.split(np.frombuffer(r["ranks"], "<i8"), np.cumsum(np.frombuffer(r["sizes"], "<i8"))[:-1])
+        shared.unpersist()
+        return [ROWS - 1 - (np.sort(x)[::-1] & (ROWS - 1)) for x in out]
+
+    def fetched(wanted: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of some rows."""
+        if not wanted:
+            return {}
+        chosen = np.array(sorted(wanted), np.int64)
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = place(batch)
+                here = np.flatnonzero(np.isin(at, chosen))
+                if len(here):
+                    yield pa.RecordBatch.from_arrays([pa.array(at[here]), *(batch.column(i).take(pa.array(here)) for i in (1, 2))], names=["row", "terms", "counts"])
+
+        near = tokens.filter(F.col("row").between(int(rows[chosen[0]]), int(rows[chosen[-1]]))).select("row", "terms", "counts")
+        return {r["row"]: (np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in near.mapInArrow(pick, "row long, terms binary, counts binary").collect()}
+
+    held: dict[int, np.ndarray] = {}
+    while np.count_nonzero(packer.left) > last_docs:
+        if postings is None:
+            postings = written(tokens.select("row", "tokens", "terms", "counts").mapInArrow(shards, "at binary, names binary, first binary, doc binary, weight binary"), "postings")
+        # fewer seeds at once as documents get few, so that most get what they were told
+        seeds = packer.seeds(max(1, min(wave, int(packer.left.sum()) // (4 * window))) + len(packer.open))
+        held |= {k: t[idf[t] > 0] for k, (t, _) in fetched([s for s in seeds if s not in held]).items()}
+        found = searched(seeds, [held[s] for s in seeds])
+        packer.deal(seeds, found.__getitem__)
+        save(packer.flush())
+        held = {s: held[s] for s, _ in packer.open}
+
+    last = np.flatnonzero(packer.left)
+    if len(last):
+        data = fetched(sorted({*last.tolist(), *(s for s, _ in packer.open)}))
+        index = Index([data[i] for i in last.tolist()], known=known, lengths=length[last].tolist())
+        lists = Postings(index.names, index.first, index.doc, index.weight, len(last))
+        while packer.left.any():
+            seeds = packer.seeds(1)
+            packer.deal(seeds, lambda k: last[np.argsort(-ranks(lists.scores(data[seeds[k]][0]), last), kind="stable")])
+    packer.finish()
+    save(packer.flush())
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, out = [], []
+            for k, (n, ids, pieces) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
+                for p in pieces:
+                    key.append(k)
+                    out.append((p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), n, p["sequence_id"], p["offset"]))
+            cols = list(zip(*out)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, *fields])
+
+    pieces = spark.read.schema(", ".join(f"{c} long" for c in columns)).parquet(folder).groupBy("row").agg(F.collect_list(F.struct(*columns[1:])).alias("_pieces"))
     for name in fields:
-        schema = schema.add(name, "long")
-    return rows.mapInArrow(pack, schema)
+        keyed = keyed.add(name, "long")
+    return tokens.select("row", "_id", "tokens", "ids").join(pieces, "row").select("_id", "tokens", "ids", "_pieces").mapInArrow(digest, keyed)
