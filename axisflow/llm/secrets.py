@@ -34,6 +34,8 @@ ALLOWED = (
     re.compile(r".*(?:EXAMPLE|example|Example|xxxx|XXXX|0123456789|abcdefghij|ABCDEFGHIJ).*"),
     re.compile(r"[-_=+/]*"),
 )
+#: Parts of a candidate that are judged by themselves: behind a name and its sign, and between the signs of a path.
+PARTS = (re.compile(r"[A-Za-z0-9+/_-]{20,}=*"), re.compile(r"[A-Za-z0-9]{20,}"))
 
 
 def max_window_entropy(s: str, width: int) -> float:
@@ -73,17 +75,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def is_random(s: str, least: float, width: int) -> bool:
+    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    return mixed and not any(a.fullmatch(s) for a in ALLOWED) and max_window_entropy(s, width) >= least
+
+
 def entropy_spans(text: str, width: int = 20) -> list[tuple[str, int, int]]:
-    """Candidate strings of which a window is as random as a key of its narrowest class would be."""
+    """Candidate strings of which a window is random enough, or else their runs that are, each by its own class.
+
+    A run is the longest stretch of a class's characters, or a part of a candidate as base64; the allow
+    list is held against the run alone. Runs that overlap are one span.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(a.fullmatch(s) for a in ALLOWED):
+        s, at = m[0], m.start()
+        if is_random(s, CLASSES[-1][2], width):
+            out.append(("entropy", at, m.end()))
             continue
-        least = next(bits for _, shape, bits in CLASSES if shape.fullmatch(s))
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        if mixed and max_window_entropy(s, width) >= least:
-            out.append(("entropy", m.start(), m.end()))
+        runs = {(r.start(), r.end()): bits for shape, bits in [*((x, CLASSES[-1][2]) for x in PARTS), *((x, bits) for _, x, bits in CLASSES[-2::-1])] for r in shape.finditer(s)}
+        last = len(out)
+        for (a, b), bits in sorted(runs.items()):
+            if len(out) > last and b + at <= out[-1][2] or not is_random(s[a:b], bits, width):
+                continue
+            if len(out) > last and a + at < out[-1][2]:
+                out[-1] = ("entropy", out[-1][1], b + at)
+            else:
+                out.append(("entropy", a + at, b + at))
     return out
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from axisflow.llm import packing
+from axisflow.llm import packing, secrets
 
 
 def sequences(rows):
@@ -39,3 +39,17 @@ def test_packing_ranks_the_whole_table(spark):
     assert sum(r["length"] for r in waves) == sum(map(len, ids)) and {(r["doc_id"], r["start"]) for r in waves if r["start"] == 0} == {(i, 0) for i in range(80)}
     firsts = [[p[0] % 20 for p in s[:2]] for s in want if len(s) > 1]
     assert np.mean([a == b for a, b in firsts]) > 0.5
+
+
+def test_keys_behind_names_and_paths():
+    rng = np.random.default_rng(5)
+    hexes = ["".join(rng.choice(list("0123456789ABCDEF"), 32)) for _ in range(300)]
+    for before in ("id=", "path/", "example/", "EXAMPLE-"):
+        found = [secrets.entropy_spans(f"see {before}{x} there") for x in hexes]
+        bare = [secrets.entropy_spans(f"see {x} there") for x in hexes]
+        assert sum(map(bool, found)) == sum(map(bool, bare)) > 290
+    assert secrets.entropy_spans("sig=JBSWY3DPEHPK3PXPQ4TMZ6LC") == [("entropy", 4, 28)]
+    assert secrets.entropy_spans("example/Zx81kQ0pLm93RtYu7Wv2Bn5s")[0][2] == 32
+    # published examples and plain names stay
+    for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "id=550e8400-e29b-41d4-a716-446655440000", "a/path/of/plain/words/without/keys", "20240101123456789012345"):
+        assert secrets.entropy_spans(text) == []
