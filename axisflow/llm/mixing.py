@@ -8,6 +8,7 @@ comes up again before all others did. Slots and blocks meet in a join by index.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +84,8 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 1 << 14, share: float = 1.0, cap: int = 3, seed: int = 20, parts: int = 64, part_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """Documents with what the mix takes of them, and the mix itself.
-
-    First: doc_id, source, size, source_size, target and taken (words, repeats counted) of every row.
-    Second: shard, slot, source_rank, block of every slot. A null or empty text has no words and is taken
-    0 times; a null source is a source of its own; repeated rows count each, and rows with null ids are
-    placed by their text; extra columns are ignored. The same table gives the same mix: the order of a
-    stream is by hash and id, and draws and permutations depend on seed and source only. `cap` is an
-    integer, so that a block is in at most `cap` passes.
-    """
+def dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, shard_slots: int, share: float, cap: int, seed: int, parts: int, part_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows placed in their streams, the slots, and each row's words of each block that has slots: from `first` to before `last`, `times` over."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("order"))
     rows = written(rows, "sizes")
     parts = max(parts, rows.count() // part_rows)
@@ -119,14 +112,76 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("end") - 1) / block_words)
     spans = placed.filter("size > 0").select("rank", "doc_id", "start", "end", "row", F.explode(F.sequence(first, last)).alias("at"))
     begin = F.col("at") * block_words
-    part_words = (F.least(F.col("end"), begin + block_words) - F.greatest(F.col("start"), begin)) * F.col("times")
+    words = (F.greatest(F.col("start"), begin) - F.col("start")).alias("first"), (F.least(F.col("end"), begin + block_words) - F.col("start")).alias("last")
     # Spark takes rows that a few counts expand to for few: both sides are large
-    taken = spans.join(times.hint("merge"), ["rank", "at"]).groupBy("rank", "start", "row").agg(F.sum(part_words).alias("taken"))
+    return placed, slots, spans.join(times.hint("merge"), ["rank", "at"]).select("rank", "doc_id", "start", "row", *words, "times")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 1 << 14, share: float = 1.0, cap: int = 3, seed: int = 20, parts: int = 64, part_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """Documents with what the mix takes of them, and the mix itself.
+
+    First: doc_id, source, size, source_size, target and taken (words, repeats counted) of every row.
+    Second: shard, slot, source_rank, block of every slot. A null or empty text has no words and is taken
+    0 times; a null source is a source of its own; repeated rows count each, and rows with null ids are
+    placed by their text; extra columns are ignored. The same table gives the same mix: the order of a
+    stream is by hash and id, and draws and permutations depend on seed and source only. `cap` is an
+    integer, so that a block is in at most `cap` passes.
+    """
+    placed, slots, pieces = dealt(docs, id_col, text_col, source_col, block_words, shard_slots, share, cap, seed, parts, part_rows)
+    taken = pieces.groupBy("rank", "start", "row").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
     taken = taken.withColumn("some", F.lit(True))
     out = placed.withColumn("some", F.col("size") > 0).join(taken, ["rank", "start", "row", "some"], "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")), slots
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_text(text: str, pieces: list[tuple[int, int, int]]) -> list[str]:
+    """The text of each pass: the words of the pieces (first, last, times) that are taken as often; where words are left out, a line ends."""
+    words = [m.span() for m in WORD.finditer(text)]
+    out = []
+    for turn in range(1, max(p[2] for p in pieces) + 1):
+        runs: list[list[int]] = []
+        for a, b, n in pieces:
+            if n < turn:
+                continue
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b])
+        out.append(text if runs == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mix_texts(docs: DataFrame, id_col: str, text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 1 << 14, share: float = 1.0, cap: int = 3, seed: int = 20, parts: int = 64, part_rows: int = 1_000_000) -> DataFrame:
+    """The words of the mix's blocks, as rows of `docs`: one for each document and pass, with those words of its text that the pass takes.
+
+    So the words of a source sum to those of its slots. `id_col` is not null and tells different rows
+    apart; equal rows may share it and are taken each. Columns are those of `docs`; documents of which
+    nothing is taken have no row.
+    """
+    _, _, pieces = dealt(docs, id_col, text_col, source_col, block_words, shard_slots, share, cap, seed, parts, part_rows)
+    taken = pieces.groupBy("rank", "start", "row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("_axisflow_pieces")).select(F.col("doc_id").alias(id_col), "_axisflow_pieces")
+    at = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                rows, texts = [], []
+                for i, (text, pieces) in enumerate(zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist())):
+                    found = cut_text(text, [(p["first"], p["last"], p["times"]) for p in pieces])
+                    rows += [i] * len(found)
+                    texts += found
+                columns = [c.take(pa.array(rows, pa.int64())) for c in part.columns[:-1]]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+    plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return plain.dropDuplicates([id_col]).join(taken, id_col).select(*docs.columns, "_axisflow_pieces").mapInArrow(cut, plain.schema)
+
+
 def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, seed: int) -> DataFrame:
     """shard, slot (its number among the source's), source_rank and block of each slot."""
     blocks = F.ceil(F.col("source_size") / block_words)

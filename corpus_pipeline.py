@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisflow.llm.mixing import mix_sources
+from axisflow.llm.mixing import mix_texts
 from axisflow.llm.packing import pack_by_retrieval
 from axisflow.llm.pii import fit_candidates, redact_pii
 from axisflow.llm.shared import written
@@ -48,16 +48,12 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes their words: the fraction is rounded up or down by a hash, so that sums hold.
+    """The words of the mix's blocks, by document and pass; n_chars is that of the words taken.
 
     Documents without words have nothing to take and go; an empty table stays empty.
     """
-    rows = docs.withColumn("_axisflow_row", F.xxhash64(*docs.columns))
-    taken, _ = mix_sources(rows, id_col="_axisflow_row")
-    share = taken.groupBy(F.col("doc_id").alias("_axisflow_row")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_axisflow_share")).filter("_axisflow_share > 0")
-    chance = F.pmod(F.xxhash64("_axisflow_row", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    times = written(share.select("_axisflow_row", F.floor(F.col("_axisflow_share") + chance).cast("int").alias("_axisflow_times")).filter("_axisflow_times > 0"), "times")
-    return rows.join(times, "_axisflow_row").withColumn("_axisflow_copy", F.explode(F.sequence(F.lit(1), "_axisflow_times"))).select(docs.columns)
+    out = mix_texts(docs.withColumn("_axisflow_row", F.xxhash64(*docs.columns)), "_axisflow_row").select(docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from axisflow.llm import packing, secrets
+import corpus_pipeline
+from axisflow.llm import mixing, packing, secrets
 
 
 def sequences(rows):
@@ -53,3 +54,25 @@ def test_keys_behind_names_and_paths():
     # published examples and plain names stay
     for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "id=550e8400-e29b-41d4-a716-446655440000", "a/path/of/plain/words/without/keys", "20240101123456789012345"):
         assert secrets.entropy_spans(text) == []
+
+
+def test_mixed_texts_sum_to_the_targets(spark):
+    """A source with one long document, and a source that is repeated: words of the stage by source are those of the slots."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"a{i}w{k}" for k in range(int(rng.integers(1, 300)))), "a", 0) for i in range(40)] + [(100, " ".join(f"long{k}" for k in range(20_000)), "a", 0)]
+    rows += [(200 + i, f" b{i}  x\ty{i} \n", "b", 0) for i in range(500)] + [(900, " ", "a", 0), (901, None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = corpus_pipeline.mix_to_weights(spark, docs, "").collect()
+    targets = {r["source"]: r["target"] for r in mixing.mix_sources(docs)[0].collect()}
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert all(abs(words[s] - targets[s]) <= 64 for s in targets)
+    texts = {i: t for i, t, *_ in rows}
+    for i, n in Counter(r["doc_id"] for r in got).items():
+        assert n <= 3 and i not in (900, 901)
+    for r in got:
+        left = iter(texts[r["doc_id"]].split())
+        assert all(w in left for w in r["text"].split())  # in order, none twice
+    assert mixing.cut_text(" a b  c d ", [(0, 1, 2), (1, 2, 1), (3, 4, 2)]) == ["a b\nd", "a\nd"] and mixing.cut_text(" a b ", [(0, 2, 1)]) == [" a b "]
