@@ -1,9 +1,9 @@
 """Main text of web pages by site-template removal.
 
 A page becomes a tree; every element subtree gets a digest of its tags and text. Spark counts, for
-each host, the pages that hold a subtree; those that recur on many pages of their host are template
-and are deleted, along with elements that are boilerplate by their very tag or role. Prose of the
-article itself is kept even when other pages quote it.
+each host and each of its sections, the pages that hold a subtree; those that recur on many of them are
+template and are deleted, along with elements that are boilerplate by their very tag or role. Paragraphs
+of an article are kept even when other pages quote them; its boxes and lists are not.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u s
 #: Elements that hold no main text, whatever their content.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select textarea input menu dialog svg canvas object head title noframes noembed".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+#: Elements within an article that recurrence decides about, unless they hold as much prose as LONG characters.
+BOXES = frozenset("div section article figure table ul ol dl".split())
+LONG = 500
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|disqus|respond|widget|toolbar|pagination|pager|skip|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
@@ -137,30 +140,32 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
-def article_of(root: Node) -> Node | None:
-    """The article or main element with the most plain text that is not within boilerplate."""
-    best, todo = None, [root]
+def articles_of(root: Node) -> list[Node]:
+    """The article and main elements that are in no other and not within boilerplate, in page order; without any, the page."""
+    out, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.boiler:
             continue
-        if node.tag in ("article", "main") and (best is None or node.prose > best.prose):
-            best = node
-        todo += [k for k in node.kids if k.__class__ is Node]
-    return best
+        if node.tag in ("article", "main"):
+            out.append(node)
+        else:
+            todo += [k for k in reversed(node.kids) if k.__class__ is Node]
+    return out or [root]
 
 
-def removable(root: Node, top: Node) -> list[Node]:
-    """Subtrees that count as template if they recur: all outside the article; within it, those of links and forms."""
-    out, todo = [], [(root, top is root)]
+def removable(root: Node, tops: list[Node]) -> list[Node]:
+    """Subtrees that count as template if they recur: all outside the articles, all articles but the largest; within them, boxes and those of links and forms."""
+    out, todo = [], [(root, False)]
+    largest, own = max(tops, key=lambda x: x.prose), {id(x) for x in tops}
     while todo:
         node, inside = todo.pop()
         for k in node.kids:
             if k.__class__ is Node:
-                within = inside or k is top
-                if k is not top and (top is root or not within or 2 * k.linked >= k.prose or k.boiler):
+                top = id(k) in own
+                if k is not largest and (top or not inside or 2 * k.linked >= k.prose or k.boiler or k.tag in BOXES and k.prose < LONG):
                     out.append(k)
-                todo.append((k, within and top is not root))
+                todo.append((k, inside or top))
     return out
 
 
@@ -193,44 +198,52 @@ def blocks(node: Node, deleted: frozenset[int]) -> list[str]:
 def main_text(html: str, template: list[int] | None = None) -> str:
     root = parse(html)
     measured(root)
-    top = article_of(root) or root
-    deleted = frozenset(template or ()) & {n.digest & (2**63 - 1) for n in removable(root, top)} if template else frozenset()
-    if deleted:
-        deleted = frozenset(n.digest for n in removable(root, top) if n.digest & (2**63 - 1) in deleted)
-    return "\n".join(blocks(top, deleted))
+    tops, known = articles_of(root), frozenset(template or ())
+    deleted = frozenset(n.digest for n in removable(root, tops) if n.digest & (2**63 - 1) in known) if known else frozenset()
+    return "\n".join(x for top in tops for x in blocks(top, deleted))
 
 
 def subtree_digests(html: str) -> list[int]:
     root = parse(html)
     measured(root)
-    top = article_of(root) or root
-    return sorted({n.digest & (2**63 - 1) for n in removable(root, top)})
+    return sorted({n.digest & (2**63 - 1) for n in removable(root, articles_of(root))})
 
 
 def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def section(url):
+    """The first of several parts of a path."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)/+[^/?#]", 1), F.lit(""))
+
+
 def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float = 0.3) -> DataFrame:
     """page_id, url, text and n_chars of every row of `pages` (page_id, url, html; others are ignored).
 
-    A subtree is template if at least `min_pages` pages and `min_share` of all pages of its host have
-    it. Null and empty html give an empty text; a null url belongs to the host ''; repeated rows are
+    A subtree is template if at least `min_pages` pages and `min_share` of all pages of its host have it,
+    or as many of the pages of a section of the host, on that section's pages. Null and empty html give an empty text; a null url belongs to the host ''; repeated rows are
     extracted each and count each; pages of any length are parsed whole.
     """
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [subtree_digests(x.as_py() or "") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "row", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "section", "digests"])
 
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("host", host(F.col("url")))
+    rows = rows.withColumn("host", host(F.col("url"))).withColumn("section", section(F.col("url")))
     row = F.xxhash64("page_id", "url")
-    seen = rows.select("host", row.alias("row"), "html").mapInArrow(subtrees, "host string, row long, digests array<long>").select("host", F.explode("digests").alias("digest"))
+    seen = rows.select("host", "section", "html").mapInArrow(subtrees, "host string, section string, digests array<long>").select("host", "section", F.explode("digests").alias("digest"))
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    counted = seen.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    # one narrow row a host: its template, the few subtrees that a good share of its pages repeat
-    template = counted.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template"))
+    counted = seen.groupBy("host", "section", "digest").agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.groupBy("host", "digest").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    # one narrow row a host: its template, the few subtrees that a good share of its pages repeat, and what its sections add
+    template = whole.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "digest")
+    parts = rows.groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    added = counted.filter(F.col("n") >= min_pages).join(parts, ["host", "section"]).filter(F.col("n") >= min_share * F.col("pages")).select("host", "section", "digest")
+    lists = template.withColumn("section", F.lit(None).cast("string")).unionByName(added).groupBy("host", "section").agg(F.sort_array(F.collect_list("digest")).alias("digests"))
+    known = lists.groupBy("host").agg(F.first(F.when(F.col("section").isNull(), F.col("digests")), True).alias("of_host"), F.map_from_entries(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", "digests")))).alias("of_sections"))
+    none = F.array().cast("array<long>")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,4 +251,5 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return salted_left_join(rows, template, ["host"], row).select("page_id", "url", "html", "template").mapInArrow(extract, schema)
+    template = F.concat(F.coalesce("of_host", none), F.coalesce(F.try_element_at("of_sections", F.col("section")), none)).alias("template")
+    return salted_left_join(rows, known, ["host"], row).select("page_id", "url", "html", template).mapInArrow(extract, schema)

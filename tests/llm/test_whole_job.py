@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from axisflow.llm import mixing, packing, secrets
+from axisflow.llm import html_templates, mixing, packing, secrets
 
 
 def sequences(rows):
@@ -76,3 +76,17 @@ def test_mixed_texts_sum_to_the_targets(spark):
         left = iter(texts[r["doc_id"]].split())
         assert all(w in left for w in r["text"].split())  # in order, none twice
     assert mixing.cut_text(" a b  c d ", [(0, 1, 2), (1, 2, 1), (3, 4, 2)]) == ["a b\nd", "a\nd"] and mixing.cut_text(" a b ", [(0, 2, 1)]) == [" a b "]
+
+
+def test_boxes_articles_and_sections(spark):
+    box = "<div><p>Subscribe now</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>Quoted.</p>{box}<p>Own {i}</p></article><p>between</p><article><p>Second {i}</p></article><article><p>Teaser</p></article>") for i in range(20)]
+    # a section of a quarter of the pages has a notice of its own
+    rows += [(100 + i, f"http://s.example/{'news' if i % 4 == 0 else 'other'}/{i}", f"<div>{'<p>News notice</p>' if i % 4 == 0 else f'<p>Rest {i}</p>'}<p>Text {i}</p></div>") for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_templates.extract_main_text(pages).collect()}
+    assert got[3] == "Quoted.\nOwn 3\nSecond 3"
+    assert got[104] == "Text 4" and got[105] == "Rest 5\nText 5"
+    long = "A long text that mirrors share. " * 20
+    same = spark.createDataFrame([(i, f"http://m.example/{i}", f"<article><div>{long}</div></article>") for i in range(20)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_templates.extract_main_text(same).collect()} == {long.strip()}
