@@ -142,7 +142,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         if i <= done:
             continue
         a = i
-        while a > 0 and not words[a - 1].endswith(CLAUSE_END) and i - a < 40:
+        while a > 0 and not words[a - 1].endswith(CLAUSE_END):
             a -= 1
         b = i
         while b < len(words) - 1 and not words[b].endswith(CLAUSE_END):
@@ -203,21 +203,28 @@ def learned(rows: list[tuple[str, int]], most: int = 500) -> tuple[dict[str, flo
 DEFAULT_CURVE = (-3.0, 0.9, 1.6, 0.2, 0.4)
 
 
-def fitted(xs: list[list[float]], ys: list[int], penalty: float = 1.0, rounds: int = 30) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, drawn towards the default curve."""
+def fitted(xs: list[list[float]], ys: list[int], penalty: float = 1.0, rounds: int = 30, rates: tuple[float, float] | None = None) -> tuple[float, ...]:
+    """Logistic regression by Newton's method, drawn towards the default curve.
+
+    `rates` are how often clean and toxic rows occur where the sample is from; its rows weigh accordingly,
+    1 on average.
+    """
     if len(set(ys)) < 2:
         return DEFAULT_CURVE
     x, y = np.column_stack([np.ones(len(xs)), np.array(xs)]), np.array(ys, float)
     prior, w = np.array(DEFAULT_CURVE), np.array(DEFAULT_CURVE)
+    weight = np.ones(len(y))
+    if rates:
+        weight = np.where(y == 1, rates[1] / y.mean(), rates[0] / (1 - y.mean())) / sum(rates)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + penalty / 2 * ((w - prior) ** 2).sum())
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + penalty / 2 * ((w - prior) ** 2).sum())
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1]), gradient)
+        gradient = x.T @ (weight * (p - y)) + penalty * (w - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1]), gradient)
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -230,9 +237,11 @@ def fitted(xs: list[list[float]], ys: list[int], penalty: float = 1.0, rounds: i
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000) -> tuple[Lexicon, tuple[float, ...]]:
     """Learns lexicon and curve from at most `sample` labelled rows of either label, those of the smallest id hashes.
 
-    Null labels and ids are left out; without any labels the fixed words and the default curve hold.
+    The curve is fitted to the rates of all labelled rows, so that a score of 0.5 means the same whether
+    or not a label has more rows than `sample`. Null labels and ids are left out; without any labels the fixed words and the default curve hold.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
     picked = [(r["_id"], r["_y"]) for part in some for r in part.collect()]
     if not picked:
@@ -242,7 +251,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = texts.join(chosen, texts["_doc"] == chosen["_id"]).select("text", "_y").toArrow()
     rows = [(t or "", y) for t, y in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
     lexicon = Lexicon(*learned(rows))
-    return lexicon, fitted([features(t, lexicon) for t, _ in rows], [y for _, y in rows])
+    # the labelled rows with a text, a sample of each label: its rows stand for as many as the label has to each that was picked
+    picks, here = Counter(y for _, y in picked), Counter(y for _, y in rows)
+    rates = tuple(here[y] * counts[y] / picks[y] if picks[y] else 0.0 for y in (0, 1))
+    return lexicon, fitted([features(t, lexicon) for t, _ in rows], [y for _, y in rows], rates=rates)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Lexicon, tuple[float, ...]], text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from axisflow.llm import html_templates, mixing, packing, secrets
+from axisflow.llm import html_templates, mixing, packing, secrets, toxicity
 
 
 def sequences(rows):
@@ -90,3 +90,27 @@ def test_boxes_articles_and_sections(spark):
     long = "A long text that mirrors share. " * 20
     same = spark.createDataFrame([(i, f"http://m.example/{i}", f"<article><div>{long}</div></article>") for i in range(20)], "page_id long, url string, html string")
     assert {r["text"] for r in html_templates.extract_main_text(same).collect()} == {long.strip()}
+
+
+def test_toxic_rates_hold_for_samples(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        toxic = i % 10 == 0
+        insult = rng.random() < (0.7 if toxic else 0.1)
+        rows.append((i, f"they went to place{i} and came back{' you idiot' if insult else ''} at noon", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    whole, few = (toxicity.fit_toxicity(docs, docs, sample=n)[1] for n in (600, 60))
+    score = lambda c, t: 1 / (1 + np.exp(-(c[0] + np.dot(c[1:], toxicity.features(t, toxicity.Lexicon({}, {}))))))
+    for t in ("nothing of the kind", "they came back, you idiot at noon"):
+        assert abs(score(whole, t) - score(few, t)) < 0.15
+    assert score(few, "nothing of the kind") < 0.1
+    # with the labels' own rates known as they are in the sample nothing changes
+    xs, ys = [[float(i % 3), 0.0, 0.0, 0.0] for i in range(30)], [int(i % 5 == 0) for i in range(30)]
+    assert toxicity.fitted(xs, ys) == pytest.approx(toxicity.fitted(xs, ys, rates=(24.0, 6.0)))
+
+
+def test_a_report_far_back_in_a_clause_counts():
+    score = lambda t: toxicity.features(t, toxicity.Lexicon({}, {}))[0]
+    report, far = "he said " + "word " * 2, "he said " + "word " * 60
+    assert score(report + "idiot") == pytest.approx(score(far + "idiot")) and score(far + "idiot") < score("word " * 60 + "idiot")
