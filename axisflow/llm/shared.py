@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker that waits for its next task would hold it, beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, giving freed memory back at the end of each task."""
+
+    def out(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m"):
+    """Arrow batches of few rows for what is written meanwhile; the session's own settings hold again afterwards."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def renamed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Only the named expressions, whatever else and however often `df` has under those names."""
     return df.select(*(c.alias(k) for k, c in columns.items()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisflow.llm.components import components
-from axisflow.llm.shared import salted_left_join, written
+from axisflow.llm.shared import lean, salted_left_join, small_batches, written
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 S32 = np.uint64(32)
@@ -63,7 +63,7 @@ def signatures(tokens: np.ndarray, percent: int, frequent: list[tuple[int, np.nd
     """Rare tokens as they are, and combinations of k frequent ones; `frequent` has k and sorted tokens by class."""
     n = len(tokens)
     need = slack(n, percent) + 1
-    if n < 2:
+    if n < 2:  # above 50 % its only partners have the same set
         return tokens[:0]
     rest, classes = tokens, []
     for k, known in reversed(frequent):
@@ -124,7 +124,12 @@ def profiles(docs: DataFrame, words: int, frequent: int, total: int, block: int
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def repeated(sets: list[np.ndarray], rows: int) -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+            every = np.concatenate(sets)
+            sets.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            counts = np.diff(first, append=len(every))
+            tokens = every[first]
             keep = counts >= max(4, frequent * rows // (2 * max(total, 1)))
             tokens, counts = tokens[keep], counts[keep]
             none = pa.nulls(len(tokens), pa.binary())
@@ -142,12 +147,12 @@ def profiles(docs: DataFrame, words: int, frequent: int, total: int, block: int
                 rows += 1
                 if held >= block:
                     yield repeated(sets, rows)
-                    sets, held, rows = [], 0, 0
+                    held, rows = 0, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.zeros(len(sizes), bool))], names=["doc", "n", "digest", "token"])
         if held:
             yield repeated(sets, rows)
 
-    return docs.mapInArrow(profile, "doc long, n long, digest binary, token boolean")
+    return docs.mapInArrow(lean(profile), "doc long, n long, digest binary, token boolean")
 
 
 def frequent_tokens(counts: DataFrame, least: int, bound: int) -> np.ndarray:
@@ -172,8 +177,16 @@ def similarity_classes(
     smallest id reachable over links. Rows that share an id are one document; rows with a null id get
     the class of equal texts, else null. Extra columns are ignored. `token_bound` limits the tokens that
     are broadcast as frequent; like `small`, the size of a bucket whose pairs are made as rows, it bears
-    on speed only, any choice gives the same links.
+    on speed only, any choice gives the same links. `percent` is above 50, at most 100.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        return _classes(docs, id_col, text_col, words, percent, frequent, very_frequent, token_bound, small)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, frequent: int, very_frequent: int, token_bound: int, small: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
     seen = written(profiles(rows, words, frequent, rows.count()), "profiles")
@@ -194,7 +207,7 @@ def similarity_classes(
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], names=["digest", "doc", "n", "bits", "keys"])
 
-    indexed = rows.filter("doc is not null and text is not null").mapInArrow(index, "digest binary, doc long, n long, bits binary, keys array<long>")
+    indexed = rows.filter("doc is not null and text is not null").mapInArrow(lean(index), "digest binary, doc long, n long, bits binary, keys array<long>")
     reps = written(indexed.groupBy("digest").agg(F.min(F.struct("doc", "n", "bits", "keys")).alias("r")).select("r.*"), "representatives")
     keyed = reps.select(F.explode("keys").alias("key"), "doc", "n")
     leaders = written(keyed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("l"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("l.doc").alias("leader"), F.col("l.n").alias("leader_n"), "size"), "leaders")
@@ -267,7 +280,7 @@ def close_pairs(members: DataFrame, reps: DataFrame, percent: int, chunk: int =
     return cells.groupBy("key", "u", "v").applyInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, percent: int, share: int = 1024) -> DataFrame:
     """The pairs (a, b) that really link: first a proof by bitmaps that most do not, then the whole sets."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +302,13 @@ def verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, per
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: reps.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    pairs = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(prune, "a long, b long")
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(lean(prune), "a long, b long")
     pairs = written(pairs, "pairs")
+    # a document with very many partners stands once for each `share` of them, so that no task gets them all
     text = rows.select(F.col("doc"), "text")
-    lefts = text.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), "text")
-    lefts = lefts.mapInArrow(sets, "a long, tokens binary").withColumnRenamed("tokens", "tokens_a")
-    rights = text.withColumnRenamed("doc", "b").join(pairs, "b").select("a", "b", "text").mapInArrow(sets, "a long, b long, tokens binary").withColumnRenamed("tokens", "tokens_b")
-    return written(rights.join(lefts, "a").mapInArrow(check, "a long, b long"), "links")
+    parts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).alias("parts")), "parts")
+    lefts = text.join(parts.withColumnRenamed("a", "doc"), "doc").select(F.col("doc").alias("a"), "parts", "text").mapInArrow(lean(sets), "a long, parts long, tokens binary")
+    lefts = lefts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("tokens").alias("tokens_a"))
+    dealt = pairs.join(parts.filter("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
+    rights = text.withColumnRenamed("doc", "b").join(dealt, "b").select("a", "b", "part", "text").mapInArrow(lean(sets), "a long, b long, part long, tokens binary").withColumnRenamed("tokens", "tokens_b")
+    return written(rights.join(lefts, ["a", "part"]).mapInArrow(lean(check), "a long, b long"), "links")
