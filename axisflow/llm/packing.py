@@ -1,31 +1,37 @@
 """Retrieval packing: related documents share a window.
 
-Documents are tokenized; BM25 postings over token ids, with frequencies and mean length of the whole
-table, lie in shards of bounded size. A seed document opens a window, every shard ranks its unused
-documents against it, and the best of the whole table fill the window greedily, the last one cut to
-fit. Seeds are searched in waves; one whose best were all taken meanwhile is searched again. What no
+Documents are tokenized, and counted: idf and mean length are those of the whole table. A content key
+that favours rare terms brings documents that share them next to each other; runs in that order are the
+shards, each with a BM25 inverted index of its documents. In a shard a seed document opens a window, the
+index returns its unused neighbours, and they fill the window greedily, the last one cut to fit. What no
 longer fills a window goes into sequences of powers of two, so that nothing is padded.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisflow.llm.shared import scratch, written
+from axisflow.llm.shared import lean, small_batches, written
 
 END = 1  # fixed value: the id that ends a document
-MARK = "\x01"
-#: Words of letters, perhaps within punctuation: the tokenizer cuts these at the changes between both.
-SHAPE = re.compile(rb"([!-/:-@\[-`{-~]*)([a-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
+MARK, STOP = "\x01", "\x02"
+#: Letters from U+00C0 to U+024F whose lower-case form is one letter there.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
+#: Words with anything but printable ASCII characters and these letters.
+OTHER = f"[^!-~{LATIN}]"
+#: Fixed value: what the tokenizer takes as one word each, among these characters.
+RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9\n{LATIN}]+")
 
 
 def byte_characters() -> str:
@@ -35,76 +41,85 @@ def byte_characters() -> str:
     return "".join(chr(b if b in own else next(more)) for b in range(256))
 
 
+@lru_cache(2)
+def vocabulary_of(path: str) -> dict[bytes, int]:
+    """Ids by bytes, those that end a word with STOP behind; the file is that of a BPE with word ends."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("end_of_word_suffix") != "</w>":
+        raise ValueError("the vocabulary has no word ends")
+    bytes_of = {c: bytes([i]) for i, c in enumerate(byte_characters())}
+    out = {}
+    for name, i in model["vocab"].items():
+        end = name.endswith("</w>") and name != "</w>"
+        out[b"".join(map(bytes_of.__getitem__, name[:-4] if end else name)) + STOP.encode() * end] = i
+    return {k: i for k, i in out.items() if STOP.encode() not in k[:-1]}
+
+
 class WordIds:
-    """Ids of texts, by words: a word's ids do not depend on its neighbours, so each is looked up once.
+    """Ids of texts, by words: a word's ids do not depend on its neighbours, so those of a batch are looked up once each.
 
     The tokenizer lower-cases, drops white space and starts anew behind it; words are cut at ASCII white
-    space only. Words of Latin letters and punctuation go straight to its BPE model; other words of a
-    batch are encoded in one call, divided by a mark of one id; texts with that mark or with special
-    strings are encoded whole. At most `bound` words are kept.
+    space only. Words of ASCII characters and Latin letters are merged by one call to a byte-pair encoder
+    with the same vocabulary: a word end is a byte of its own that joins its neighbour first, and merges
+    rank as their ids. Other words are encoded by the tokenizer in one call, divided by a mark of one id;
+    texts with that mark or with special strings are encoded whole.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str):
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.table = self.tokenizer.model, byte_characters()
-        self.bound, self.known = bound, {}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def run(self, part: bytes) -> bytes:
-        """Ids of a run that the tokenizer takes as one word."""
-        found = self.known.get(part)
-        if found is None:
-            text = part.decode("latin-1").translate(self.table)
-            found = self.known[part] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(text))
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.bound:
-            self.known.clear()
-            new = list(words)
-        other = []
-        for w in new:
-            m = SHAPE.fullmatch(w)
-            if m and not m[1].endswith(b"'"):
-                core = m[2]
-                if not core.isascii():
-                    text = core.decode().lower()
-                    core = text.encode() if text.isalpha() and max(text) < "\u0250" else None
-                if core is not None:
-                    self.known[w] = b"".join(self.run(x) for x in (m[1], core, m[3]) if x)
-                    continue
-            other.append(w)
-        for at in range(0, len(other), 5000):
-            some = other[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            data = ids.tobytes()
-            if len(starts) != len(some):
-                raise ValueError("the mark was not kept apart")
-            self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, starts, ends))
+        known = vocabulary_of(path)
+        # ends of one byte first, single bytes last; of the rest an earlier id is an earlier merge
+        order = sorted(known, key=lambda b: (not (len(b) == 2 and b.endswith(STOP.encode())), len(b) == 1, known[b]))
+        self.ids = np.array([known[b] for b in order], np.uint32)
+        self.pairs = Encoding("words", pat_str=rf"\n|[^{STOP}\n]+{STOP}", mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
+        self.line = order.index(b"\n")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ASCII characters and Latin letters, and how many each has."""
+        found = self.pairs.encode_to_numpy(RUNS.sub(rf"\g<0>{STOP}", "\n".join([*words, ""])), disallowed_special=())
+        lines = np.flatnonzero(found == self.line)
+        return self.ids[np.delete(found, lines)], np.diff(lines, prepend=-1) - 1
+
+    def other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole("".join(f" {w} {MARK}" for w in words))
+        marks = np.flatnonzero(found == self.mark)
+        if len(marks) != len(words):
+            raise ValueError("the mark was not kept apart")
+        return np.delete(found, marks), np.diff(marks, prepend=-1) - 1
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        split = []
-        for i, t in enumerate(texts):
-            if b"\x01" in t or b"<|" in t:
-                out[i] = self.whole(t.decode())
-            else:
-                split.append((i, t.lower().split()))
-        for at in range(0, len(split), 200):
-            part = split[at : at + 200]
-            self.learn({w for _, words in part for w in words})
-            get = self.known.__getitem__
-            for i, words in part:
-                out[i] = b"".join(map(get, words))
-        return [np.frombuffer(x, "<u4") for x in out]
+        """The ids of each text, as unsigned 32-bit numbers."""
+        odd = {i: self.whole(t.decode()) for i, t in enumerate(texts) if b"\x01" in t or b"<|" in t}
+        lines = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([b"" if i in odd else t for i, t in enumerate(texts)], pa.binary()).view(pa.string())))
+        found = lines.flatten().dictionary_encode()
+        code, words = found.indices.to_numpy(), found.dictionary
+        if not len(words):
+            return [odd.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
+        strange = pc.match_substring_regex(words, OTHER).to_numpy(zero_copy_only=False)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for which, encode in ((~strange, self.plain), (strange, self.other)):
+            if which.any():
+                some = words.filter(pa.array(which))
+                ids, sizes[which] = encode((pc.utf8_lower(some) if encode == self.plain else some).to_pylist())
+                parts.append(ids)
+        starts, at = np.zeros(len(words), np.int64), 0
+        for which in (~strange, strange):
+            n = sizes[which]
+            starts[which] = at + np.cumsum(n) - n
+            at += int(n.sum())
+        ids, n = np.concatenate(parts), sizes[code]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
+        return [odd[i] if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
 
 @lru_cache(2)
@@ -112,20 +127,21 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
+
+
 class Index:
-    """BM25 postings of documents; terms that over half of all documents hold weigh 0 and are left out.
+    """BM25 postings of the documents of a shard; terms that over half of all documents hold weigh 0 and are left out.
 
-    `terms` and `counts` are those of each document. Without `known`, the idf of each term and the mean
-    length, the documents are the whole table.
+    `known` has the idf of each term and the mean length; without it, the documents are the whole table.
     """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, known: tuple[np.ndarray, float] | None = None, lengths: list[int] | None = None):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, known: tuple[np.ndarray, float] | None = None):
         self.n = n = len(docs)
-        pairs = docs if lengths is not None else [np.unique(d, return_counts=True) for d in docs]
-        self.terms, counts = zip(*pairs)
-        length = np.array([len(d) for d in docs] if lengths is None else lengths, np.float64)
-        sizes = np.array([len(t) for t in self.terms])
-        term, doc = np.concatenate(self.terms), np.repeat(np.arange(n), sizes)
+        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs))
+        length = np.array([len(d) for d in docs], np.float64)
+        term, doc = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(n), [len(t) for t in terms])
         tf = np.concatenate(counts).astype(np.float64)
         if known is None:
             names, df = np.unique(term, return_counts=True)
@@ -133,328 +149,191 @@ class Index:
             idf[names] = idf_of(df, n)
             known = idf, length.mean()
         idf, mean = known
+        self.terms = [t[idf[t] > 0].astype(np.int64) for t in terms]
         some = np.flatnonzero(idf[term] > 0)
         some = some[np.argsort(term[some], kind="stable")]
         term, self.doc, tf = term[some], doc[some], tf[some]
         self.weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.doc] / mean)) * idf[term]
-        self.names, self.first = np.unique(term, return_index=True)
+        self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
 
     def scores(self, seed: int) -> np.ndarray:
-        return Postings(self.names, self.first, self.doc, self.weight, self.n).scores(self.terms[seed])
-
-
-def idf_of(df: np.ndarray, n: int) -> np.ndarray:
-    return np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-
-
-class Postings:
-    """Documents and weights by term; `first` is where each of the `names` begins."""
-
-    def __init__(self, names: np.ndarray, first: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int):
-        self.doc, self.weight, self.n = doc.astype(np.int64), weight.astype(np.float64), n
-        self.slot = np.full(int(names[-1]) + 1 if len(names) else 1, -1)
-        self.slot[names] = np.arange(len(names))
-        self.ends = [*first.tolist(), len(doc)]
-
-    def scores(self, terms: np.ndarray) -> np.ndarray:
-        at = self.slot[terms[terms < len(self.slot)]]
-        cuts = [(self.ends[i], self.ends[i + 1]) for i in at[at >= 0].tolist()]
-        if not cuts:
+        ends, sizes = self.ends[self.terms[seed]], self.ends[self.terms[seed]] - np.where(self.terms[seed] > 0, self.ends[self.terms[seed] - 1], 0)
+        after = np.cumsum(sizes)
+        if not len(after):
             return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[a:b] for a, b in cuts]), np.concatenate([self.weight[a:b] for a, b in cuts]), self.n)
-
-    def only(self, kept: np.ndarray) -> Postings:
-        """Of the documents that `kept` marks, numbered anew."""
-        here = kept[self.doc]
-        before = np.concatenate([[0], np.cumsum(here)])
-        out = object.__new__(Postings)
-        out.doc, out.weight, out.n = (np.cumsum(kept) - 1)[self.doc[here]], self.weight[here], int(kept.sum())
-        out.slot, out.ends = self.slot, before[self.ends].tolist()
-        return out
+        at = np.repeat(ends - after, sizes) + np.arange(after[-1])
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-ROWS = 1 << 29  # fixed value: a rank is the score in 2^-17ths above the row, equal scores by ascending row
+def pack_shard(docs: list[np.ndarray], window: int, known: tuple[np.ndarray, float] | None = None, best: int = 16) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document, start, length); each token is in one piece.
 
+    Of the `best` unused neighbours, the nearest that fits whole comes next, or else the nearest, cut; of
+    equally near ones the earlier. When these are used up, the next ones are taken.
+    """
+    length = np.array([len(d) for d in docs], np.int64)
+    left = length % window
+    for doc, n in enumerate((length // window).tolist()):
+        for turn in range(n):
+            yield [(doc, turn * window, window)]
+
+    def take(doc: int, space: int) -> tuple[int, int, int]:
+        size = min(space, int(left[doc]))
+        piece = doc, int(length[doc] - left[doc]), size
+        left[doc] -= size
+        return piece
 
-def ranks(scores: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return ((scores * (1 << 17)).astype(np.int64) << 29) | (ROWS - 1 - rows)
-
+    index, pieces = None, []
+    for seed in range(len(docs)):
+        if not left[seed]:
+            continue
+        pieces = [take(seed, window)]
+        space = window - pieces[0][2]
+        scores = None
+        while space and left.any():
+            if scores is None:
+                index = index or Index(docs, known=known)
+                scores = index.scores(seed)
+            unused = np.flatnonzero(left)
+            s = scores[unused]
+            if len(unused) > 4 * best:
+                least = np.partition(s, len(s) - best)[len(s) - best]
+                unused, s = unused[s >= least], s[s >= least]
+            near = unused[np.argsort(-s, kind="stable")][:best].tolist()
+            while space and near:
+                at = next((i for i, d in enumerate(near) if left[d] <= space), 0)
+                pieces.append(take(near.pop(at), space))
+                space -= pieces[-1][2]
+        if not space:
+            yield pieces
+            pieces = []
+    # fewer tokens than a window are left: sequences of powers of two
+    pieces = pieces[::-1]
+    rest = sum(size for *_, size in pieces)
+    while rest:
+        room = 1 << (rest.bit_length() - 1)
+        rest -= room
+        out = []
+        while room:
+            doc, at, size = pieces.pop()
+            n = min(size, room)
+            out.append((doc, at, n))
+            room -= n
+            if n < size:
+                pieces.append((doc, at + n, size - n))
+        yield out
+
+
+def content_ranks(idf: np.ndarray, keys: int = 3) -> np.ndarray:
+    """For each key and term, its rank among all terms: the rarer, the likelier to be low.
+
+    A document's key is the lowest rank among its terms. Two documents then agree with the probability
+    of their Jaccard similarity, terms weighted by their squared idf (exponential ranks).
+    """
+    weight = np.where(idf > 0, idf, np.nan) ** 2
+    draws = np.random.default_rng(9).exponential(size=(keys, len(idf)))
+    return np.argsort(np.argsort(np.nan_to_num(draws / weight, nan=np.inf), axis=1, kind="stable"), axis=1).astype(np.int32)
 
-def best_of(found: np.ndarray, best: int) -> np.ndarray:
-    return found if len(found) <= best else found[np.argpartition(-found, best - 1)[:best]]
 
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-class Packer:
-    """Which pieces share a sequence; `left` are the tokens of each row in no sequence yet, its last ones."""
 
-    def __init__(self, length: np.ndarray, window: int):
-        self.window, self.length, self.sequence = window, length, 0
-        self.left = length % window
-        self.rows: list[tuple[int, int, int, int, int]] = []  # row, start, length, sequence, offset
-        self.open: list[tuple[int, list[tuple[int, int, int]]]] = []  # windows to be searched for again
-        self.next = 0
+def portions(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and, but for single rows, about so many bytes."""
+    each = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, each):
+        yield batch.slice(at, each)
 
-    def whole(self) -> Iterator[np.ndarray]:
-        """The full windows of long documents, as sequences of their own."""
-        for at in range(0, len(self.length), 1 << 18):
-            n = self.length[at : at + (1 << 18)] // self.window
-            row = np.repeat(np.arange(at, at + len(n)), n)
-            turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield np.stack([row, turn * self.window, np.full(len(row), self.window), self.sequence + np.arange(len(row)), np.zeros(len(row), np.int64)], 1)
-            self.sequence += len(row)
 
-    def close(self, pieces: list[tuple[int, int, int]]) -> None:
-        offset = 0
-        for row, start, size in pieces:
-            self.rows.append((row, start, size, self.sequence, offset))
-            offset += size
-        self.sequence += 1
+def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """row, _id, tokens and ids of every document; and, where ids is null, terms (row) and how many documents of a task hold them (tokens)."""
 
-    def take(self, row: int, space: int) -> tuple[int, int, int]:
-        size = min(space, int(self.left[row]))
-        piece = (row, int(self.length[row] - self.left[row]), size)
-        self.left[row] -= size
-        return piece
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, df, kind = TaskContext.get().partitionId() << 40, np.zeros(1, np.int64), None
+        names = ["row", "_id", "tokens", "ids"]
+        for batch in batches:
+            kind = batch.column(0).type
+            for part in portions(batch, 2000, 6 << 20):
+                encoded = [np.append(x, np.uint32(END)) for x in word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])]
+                seen = np.bincount(np.concatenate([np.unique(x) for x in encoded]), minlength=len(df))
+                seen[: len(df)] += df
+                df = seen
+                data = pa.array([x.astype("<u4" if len(df) > 1 << 16 else "<u2").tobytes() + bytes([len(df) > 1 << 16]) for x in encoded], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(encoded)), pa.int64()), part.column(0), pa.array(map(len, encoded), pa.int64()), data], names=names)
+                row += len(encoded)
+        some = np.flatnonzero(df)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), kind), pa.array(df[some]), pa.nulls(len(some), pa.binary())], names=names)
 
-    def seeds(self, n: int) -> list[int]:
-        """The open windows' seeds, then the next rows that have tokens left."""
-        more = self.next + np.flatnonzero(self.left[self.next :])[: max(0, n - len(self.open))]
-        return [*(s for s, _ in self.open), *more.tolist()]
-
-    def deal(self, seeds: list[int], ranked: Callable[[int], np.ndarray]) -> None:
-        """Fills a window from each seed by its ranked rows: the best that fits, or else the best, cut. One that runs out of rows stays open."""
-        opened, self.open = self.open, []
-        for k, seed in enumerate(seeds):
-            if k < len(opened):
-                pieces = opened[k][1]
-            elif self.left[seed]:
-                pieces = [self.take(seed, self.window)]
-            else:
-                continue
-            space = self.window - sum(size for *_, size in pieces)
-            rows = ranked(k) if space else ()
-            while space:
-                rows = rows[self.left[rows] > 0]
-                if not len(rows):
-                    break
-                fits = np.flatnonzero(self.left[rows] <= space)
-                pieces.append(self.take(int(rows[fits[0] if len(fits) else 0]), space))
-                space -= pieces[-1][2]
-            if space:
-                self.open.append((seed, pieces))
-            else:
-                self.close(pieces)
-        while self.next < len(self.left) and not self.left[self.next]:
-            self.next += 1
-
-    def finish(self) -> None:
-        """No row has tokens left: what open windows hold goes into windows and then sequences of powers of two."""
-        pieces = [p for _, some in self.open for p in some][::-1]
-        rest, self.open = sum(size for *_, size in pieces), []
-        while rest:
-            room = self.window if rest >= self.window else 1 << (rest.bit_length() - 1)
-            rest -= room
-            out = []
-            while room:
-                row, at, size = pieces.pop()
-                take = min(size, room)
-                out.append((row, at, take))
-                room -= take
-                if take < size:
-                    pieces.append((row, at + take, size - take))
-            self.close(out)
-
-    def flush(self) -> np.ndarray:
-        out, self.rows = np.array(self.rows, np.int64).reshape(-1, 5), []
-        return out
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    return source.mapInArrow(lean(tokenize), f"row long, _id {source.schema[0].dataType.simpleString()}, tokens long, ids binary")
 
 
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def stored(data: bytes) -> np.ndarray:
+    """Ids as `tokenized` stores them: 16 bits each, or 32 where the last byte says so."""
+    return np.frombuffer(data, "<u4" if data[-1] else "<u2", (len(data) - 1) // (4 if data[-1] else 2))
 
 
-def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 16_384, shard_tokens: int = 16_000_000, wave: int = 4096, best: int = 16, last_docs: int = 2048) -> DataFrame:
+def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 512, shard_tokens: int = 2_000_000, part_tokens: int = 64_000_000) -> DataFrame:
     """A row of each piece: the document, where in it and in which sequence the piece is, and its digest.
 
-    `vocabulary` is the tokenizer's file. Postings lie in shards of at most `shard_docs` documents or about
-    `shard_tokens` tokens; every seed is ranked against the unused documents of all shards, so neighbours
-    depend on no file, partition or shard; only the order of seeds and equal scores go by the order of
-    rows. At most `wave` seeds are searched at once, for their `best` documents each; the last `last_docs`
-    documents are ranked whole on the driver, which also holds two numbers a row. The work grows with the
-    square of the rows. Full windows of a document are sequences of their own. A null or empty text is its
-    end id alone; equal documents are packed each; null and repeated ids are carried as they are; extra
-    columns are ignored.
+    `vocabulary` is the tokenizer's file. Documents are dealt by content over ranges of about
+    `part_tokens` tokens; a shard is a run of at most `shard_docs` documents of a range, or of about
+    `shard_tokens` tokens: memory and work a document are bounded, however alike documents are. Full
+    windows of a document are sequences of their own. A null or empty text is its end id alone; equal
+    documents are packed each; null and repeated ids are carried as they are; extra columns are ignored.
+    The order of equal documents goes by that of the rows.
     """
     spark = docs.sparkSession
     fields = [x.split()[0] for x in PIECES.split(", ")]
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+    with small_batches(spark, 2000, "8m"):
+        tokens = written(tokenized(docs, vocabulary, id_col, text_col), "tokens")
+    rows = tokens.filter("ids is not null")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    counted = tokens.filter("ids is null").groupBy("row").agg(F.sum("tokens").alias("n")).toArrow()  # no more than the vocabulary
+    idf = np.zeros(max(counted.column(0).to_pylist(), default=0) + 1)
+    idf[counted.column(0).to_numpy()] = idf_of(counted.column(1).to_numpy(), n)
+    known = spark.sparkContext.broadcast((idf, (total or 0) / max(n, 1), content_ranks(idf)))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *_, ranks = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                encoded = [np.append(x, np.array([END], "<u4")) for x in word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])]
-                terms, counts = zip(*(np.unique(x, return_counts=True) for x in encoded))
-                data = [pa.array([x.astype("<u4").tobytes() for x in c], pa.binary()) for c in (encoded, terms, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(encoded)), pa.int64()), part.column(0), pa.array(map(len, encoded), pa.int64()), *data], names=["row", "_id", "tokens", "ids", "terms", "counts"])
-                row += len(encoded)
+            found = np.array([ranks[:, stored(x.as_py())].min(axis=1) for x in batch.column("ids")], np.int32).reshape(-1, len(ranks))
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(len(ranks))), *batch.columns], names=[*(f"k{k}" for k in range(len(ranks))), *batch.schema.names])
 
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"))
-    keyed = source.select(id_col).schema
-    schema = f"row long, _id {keyed[0].dataType.simpleString()}, tokens long, ids binary, terms binary, counts binary"
-    tokens = written(source.toDF("_id", "_text").mapInArrow(tokenize, schema), "tokens")
-
-    table = tokens.select("row", "tokens").toArrow()
-    order = np.argsort(rows := table.column(0).to_numpy())
-    rows, length = rows[order], table.column(1).to_numpy()[order]
-    if len(rows) >= ROWS:
-        raise ValueError("too many rows for a rank")
-    parts, firsts = np.unique(rows >> 40, return_index=True)
-    base = dict(zip(parts.tolist(), firsts.tolist()))
-
-    def place(batch: pa.RecordBatch) -> np.ndarray:
-        """Rows numbered through."""
-        row = batch.column(0).to_numpy()
-        return np.array([base[p] for p in (row >> 40).tolist()], np.int64) + (row & ((1 << 40) - 1))
-
-    packer = Packer(length, window)
-    folder = scratch(spark, "pieces")
-    columns = ["row", "start", "length", "sequence_id", "offset"]
-
-    def save(part: np.ndarray) -> None:
-        if len(part):
-            part = part.copy()
-            part[:, 0] = rows[part[:, 0]]
-            spark.createDataFrame(pa.table({c: part[:, i] for i, c in enumerate(columns)})).coalesce(1).write.mode("append").parquet(folder)
-
-    spark.createDataFrame([], ", ".join(f"{c} long" for c in columns)).write.parquet(folder)
-    for part in packer.whole():
-        save(part)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=len(df))
-            n[: len(df)] += df
-            df = n
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
-
-    counted = tokens.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    idf = np.zeros(int(max(counted.column(0).to_pylist(), default=0)) + 1)
-    idf[counted.column(0).to_numpy()] = idf_of(counted.column(1).to_numpy(), len(rows))
-    known = (idf, float(length.mean()) if len(rows) else 1.0)
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, docs, sizes, held = [], [], [], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, kind = TaskContext.get().partitionId() << 40, None
+        ids, docs, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            x = Index(docs, known=known, lengths=sizes)
-            arrays = (np.array(at, "<i8"), x.names.astype("<u4"), x.first.astype("<i8"), x.doc.astype("<i4"), x.weight.astype("<f4"))
-            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["at", "names", "first", "doc", "weight"])
+            nonlocal sequence
+            data, out = [x.astype("<u4").tobytes() for x in docs], []
+            for pieces in pack_shard(docs, window, known.value[:2]):
+                offset = 0
+                for doc, start, size in pieces:
+                    out.append((ids[doc], start, size, zlib.crc32(data[doc][4 * start : 4 * (start + size)]), len(docs[doc]), sequence, offset))
+                    offset += size
+                sequence += 1
+            first, *others = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(first, kind), *(pa.array(c, pa.int64()) for c in others)], names=[id_col, *fields])
 
         for batch in batches:
-            for row, n, *pair in zip(place(batch).tolist(), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                at.append(row)
-                sizes.append(n)
-                docs.append(tuple(np.frombuffer(x, "<u4") for x in pair))
-                held += n
+            kind = batch.column(0).type
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(key)
+                docs.append(stored(data.as_py()))
+                held += len(docs[-1])
                 if len(docs) >= shard_docs or held >= shard_tokens:
                     yield flush()
-                    at, docs, sizes, held = [], [], [], 0
+                    ids, docs, held = [], [], 0
         if docs:
             yield flush()
 
-    postings = None
-
-    def searched(seeds: list[int], terms: list[np.ndarray]) -> list[np.ndarray]:
-        """The best rows for each seed among all that have tokens left."""
-        shared = spark.sparkContext.broadcast((terms, np.packbits(packer.left > 0)))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, bits = shared.value
-            alive = np.unpackbits(bits).astype(bool)
-            found = [np.zeros(0, np.int64)] * len(terms)
-            for batch in batches:
-                for shard in zip(*(c.to_pylist() for c in batch.columns)):
-                    at, names, first, doc, weight = (np.frombuffer(x, kind) for x, kind in zip(shard, ("<i8", "<u4", "<i8", "<i4", "<f4")))
-                    kept = alive[at]
-                    if not kept.any():
-                        continue
-                    index, at = Postings(names, first, doc, weight, len(at)).only(kept), at[kept]
-                    for k, t in enumerate(terms):
-                        more = ranks(index.scores(t), at)
-                        if len(found[k]) == best:
-                            more = more[more > found[k].min()]
-                        found[k] = best_of(np.concatenate([found[k], best_of(more, best)]), best)
-            for k in range(0, len(terms), 256):
-                some = found[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([k // 256]), pa.array([np.array([len(x) for x in some], "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(some).tobytes()], pa.binary())], names=["bucket", "sizes", "ranks"])
-
-        def merge(group: pa.Table) -> pa.Table:
-            lists: list[list[np.ndarray]] = []
-            for sizes, data in zip(group.column("sizes").to_pylist(), group.column("ranks").to_pylist()):
-                cut = np.split(np.frombuffer(data, "<i8"), np.cumsum(np.frombuffer(sizes, "<i8"))[:-1])
-                lists = [[*x, y] for x, y in zip(lists or [[]] * len(cut), cut)]
-            merged = [best_of(np.concatenate(x), best) for x in lists]
-            return pa.table({"bucket": group.column("bucket")[:1], "sizes": pa.array([np.array([len(x) for x in merged], "<i8").tobytes()], pa.binary()), "ranks": pa.array([np.concatenate(merged).tobytes()], pa.binary())})
-
-        kind = "bucket long, sizes binary, ranks binary"
-        out: list[np.ndarray] = []
-        for r in sorted(postings.mapInArrow(search, kind).groupBy("bucket").applyInArrow(merge, kind).collect(), key=lambda r: r["bucket"]):
-            out += np.split(np.frombuffer(r["ranks"], "<i8"), np.cumsum(np.frombuffer(r["sizes"], "<i8"))[:-1])
-        shared.unpersist()
-        return [ROWS - 1 - (np.sort(x)[::-1] & (ROWS - 1)) for x in out]
-
-    def fetched(wanted: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Terms and counts of some rows."""
-        if not wanted:
-            return {}
-        chosen = np.array(sorted(wanted), np.int64)
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = place(batch)
-                here = np.flatnonzero(np.isin(at, chosen))
-                if len(here):
-                    yield pa.RecordBatch.from_arrays([pa.array(at[here]), *(batch.column(i).take(pa.array(here)) for i in (1, 2))], names=["row", "terms", "counts"])
-
-        near = tokens.filter(F.col("row").between(int(rows[chosen[0]]), int(rows[chosen[-1]]))).select("row", "terms", "counts")
-        return {r["row"]: (np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in near.mapInArrow(pick, "row long, terms binary, counts binary").collect()}
-
-    held: dict[int, np.ndarray] = {}
-    while np.count_nonzero(packer.left) > last_docs:
-        if postings is None:
-            postings = written(tokens.select("row", "tokens", "terms", "counts").mapInArrow(shards, "at binary, names binary, first binary, doc binary, weight binary"), "postings")
-        # fewer seeds at once as documents get few, so that most get what they were told
-        seeds = packer.seeds(max(1, min(wave, int(packer.left.sum()) // (4 * window))) + len(packer.open))
-        held |= {k: t[idf[t] > 0] for k, (t, _) in fetched([s for s in seeds if s not in held]).items()}
-        found = searched(seeds, [held[s] for s in seeds])
-        packer.deal(seeds, found.__getitem__)
-        save(packer.flush())
-        held = {s: held[s] for s, _ in packer.open}
-
-    last = np.flatnonzero(packer.left)
-    if len(last):
-        data = fetched(sorted({*last.tolist(), *(s for s, _ in packer.open)}))
-        index = Index([data[i] for i in last.tolist()], known=known, lengths=length[last].tolist())
-        lists = Postings(index.names, index.first, index.doc, index.weight, len(last))
-        while packer.left.any():
-            seeds = packer.seeds(1)
-            packer.deal(seeds, lambda k: last[np.argsort(-ranks(lists.scores(data[seeds[k]][0]), last), kind="stable")])
-    packer.finish()
-    save(packer.flush())
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, out = [], []
-            for k, (n, ids, pieces) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
-                for p in pieces:
-                    key.append(k)
-                    out.append((p["start"], p["length"], zlib.crc32(ids[4 * p["start"] : 4 * (p["start"] + p["length"])]), n, p["sequence_id"], p["offset"]))
-            cols = list(zip(*out)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, *fields])
-
-    pieces = spark.read.schema(", ".join(f"{c} long" for c in columns)).parquet(folder).groupBy("row").agg(F.collect_list(F.struct(*columns[1:])).alias("_pieces"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_tokens))
+    order = ["k0", "k1", "k2", "row"]
+    dealt = rows.mapInArrow(lean(keyed), f"k0 int, k1 int, k2 int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = docs.select(id_col).schema
     for name in fields:
-        keyed = keyed.add(name, "long")
-    return tokens.select("row", "_id", "tokens", "ids").join(pieces, "row").select("_id", "tokens", "ids", "_pieces").mapInArrow(digest, keyed)
+        schema = schema.add(name, "long")
+    return dealt.select("_id", "ids").mapInArrow(lean(pack), schema)
