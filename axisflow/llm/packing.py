@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,20 +105,22 @@ class WordIds:
         if not len(words):
             return [odd.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
         strange = pc.match_substring_regex(words, OTHER).to_numpy(zero_copy_only=False)
-        sizes, parts = np.zeros(len(words), np.int64), []
+        sizes, parts = np.zeros(len(words), np.int32), []
         for which, encode in ((~strange, self.plain), (strange, self.other)):
             if which.any():
                 some = words.filter(pa.array(which))
                 ids, sizes[which] = encode((pc.utf8_lower(some) if encode == self.plain else some).to_pylist())
                 parts.append(ids)
-        starts, at = np.zeros(len(words), np.int64), 0
+        starts, at = np.zeros(len(words), np.int32), 0
         for which in (~strange, strange):
             n = sizes[which]
-            starts[which] = at + np.cumsum(n) - n
-            at += int(n.sum())
+            starts[which] = at + np.cumsum(n, dtype=np.int64) - n
+            at += int(n.sum(dtype=np.int64))
         ids, n = np.concatenate(parts), sizes[code]
-        ends = np.cumsum(n)
-        ids = ids[np.repeat(starts[code] - ends + n, n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.arange(ends[-1], dtype=np.int32 if ends[-1] < 1 << 30 else np.int64)
+        at += np.repeat((starts[code] + n - ends).astype(at.dtype), n)
+        ids = ids[at]
         cuts = np.concatenate([[0], ends])[lines.offsets.to_numpy() - lines.offsets[0].as_py()]
         return [odd[i] if i in odd else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
@@ -253,7 +256,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> D
         names = ["row", "_id", "tokens", "ids"]
         for batch in batches:
             kind = batch.column(0).type
-            for part in portions(batch, 2000, 6 << 20):
+            for part in portions(batch, 4000, 10 << 20):
                 encoded = [np.append(x, np.uint32(END)) for x in word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])]
                 seen = np.bincount(np.concatenate([np.unique(x) for x in encoded]), minlength=len(df))
                 seen[: len(df)] += df
@@ -274,7 +277,7 @@ def stored(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4" if data[-1] else "<u2", (len(data) - 1) // (4 if data[-1] else 2))
 
 
-def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 512, shard_tokens: int = 2_000_000, part_tokens: int = 64_000_000) -> DataFrame:
+def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, shard_docs: int = 512, shard_tokens: int = 2_000_000, part_tokens: int = 64_000_000, sample: int = 1_000_000) -> DataFrame:
     """A row of each piece: the document, where in it and in which sequence the piece is, and its digest.
 
     `vocabulary` is the tokenizer's file. Documents are dealt by content over ranges of about
@@ -286,7 +289,7 @@ def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     fields = [x.split()[0] for x in PIECES.split(", ")]
-    with small_batches(spark, 2000, "8m"):
+    with small_batches(spark, 4000, "10m"):
         tokens = written(tokenized(docs, vocabulary, id_col, text_col), "tokens")
     rows = tokens.filter("ids is not null")
     n, total = rows.agg(F.count(F.lit(1)), F.sum("tokens")).first()
@@ -295,11 +298,22 @@ def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     idf[counted.column(0).to_numpy()] = idf_of(counted.column(1).to_numpy(), n)
     known = spark.sparkContext.broadcast((idf, (total or 0) / max(n, 1), content_ranks(idf)))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(batch: pa.RecordBatch) -> list[tuple[int, ...]]:
+        """The place of each document in the order by content; equal ones go by row."""
         *_, ranks = known.value
+        return [(*ranks[:, stored(x.as_py())].min(axis=1).tolist(), row) for x, row in zip(batch.column("ids"), batch.column("row").to_pylist())]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*keys_of(batch))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=places)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([ranks[:, stored(x.as_py())].min(axis=1) for x in batch.column("ids")], np.int32).reshape(-1, len(ranks))
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(len(ranks))), *batch.columns], names=[*(f"k{k}" for k in range(len(ranks))), *batch.schema.names])
+            keys = keys_of(batch)
+            cols = list(zip(*keys)) or [()] * 4
+            part = pa.array([bisect_right(bounds.value, k) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, *(pa.array(c, pa.int64()) for c in cols), batch.column("_id"), batch.column("ids")], names=["part", *places, "_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, kind = TaskContext.get().partitionId() << 40, None
@@ -329,11 +343,16 @@ def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         if docs:
             yield flush()
 
+    # ranges of about equal numbers of documents, from a sample of no more than `sample` of them
+    places, kind = ["k0", "k1", "k2", "row"], rows.schema["_id"].dataType.simpleString()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_tokens))
-    order = ["k0", "k1", "k2", "row"]
-    dealt = rows.mapInArrow(lean(keyed), f"k0 int, k1 int, k2 int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}")
-    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = docs.select(id_col).schema
-    for name in fields:
-        schema = schema.add(name, "long")
-    return dealt.select("_id", "ids").mapInArrow(lean(pack), schema)
+    some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // min(20 * parts, sample)))) == 0).select("row", "ids")
+    with small_batches(spark, 4000, "10m"):
+        found = sorted(zip(*(c.to_pylist() for c in some.mapInArrow(lean(sampled), ", ".join(f"{c} long" for c in places)).toArrow().columns)))
+        bounds = spark.sparkContext.broadcast([found[len(found) * k // parts] for k in range(1, parts)] if found else [])
+        dealt = rows.select("row", "_id", "ids").mapInArrow(lean(placed), f"part int, {', '.join(f'{c} long' for c in places)}, _id {kind}, ids binary")
+        dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions(*places)
+        schema = docs.select(id_col).schema
+        for name in fields:
+            schema = schema.add(name, "long")
+        return written(dealt.select("_id", "ids").mapInArrow(lean(pack), schema), "pieces")
