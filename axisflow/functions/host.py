@@ -4,7 +4,6 @@ normalization or IDNA pass through an Arrow function, see `normalized`."""
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -111,23 +110,38 @@ def _finish(host: str, form: str, percent: bool, idna: bool) -> str:
     return _idna(host)[0] if idna else host
 
 
-TRACE = "after_percent string, after_unicode string, normalized string, idna_backend string"
+STEPS = "decoded string, percent_error boolean, composed string, unicode_error boolean, normalized string, idna_backend string"
 
 
-def trace_of(host: Column, unicode_form: str = "NFKC", decode_percent: bool = True, idna_roundtrip: bool = True) -> Column:
-    """Steps of the normalization of a segmented host, by one Arrow function."""
+def normalization_trace(value: Column, unicode_form: str = "NFKC", decode_percent: bool = True, idna_roundtrip: bool = True) -> Column:
+    """The 15 fields of a normalization: input, segmentation, the host after each step, which steps failed, the result.
 
-    @F.pandas_udf(TRACE)
+    Segmentation is native; decoding, composing, case folding and the IDNA round trip are one Arrow function.
+    """
+    raw = F.coalesce(value.cast("string"), F.lit(""))
+    parts = segmented(value)
+    before = F.regexp_replace(ustrip(parts["host"]), r"^\.+|\.+$", "")
+
+    @F.pandas_udf(STEPS)
     def steps(hosts: pd.Series) -> pd.DataFrame:
         rows = []
         for h in hosts:
-            a = _percent_decoded(h) if decode_percent else h
-            b = unicodedata.normalize(unicode_form, a)
-            c = b.casefold()
-            rows.append((a, b, *(_idna(c) if idna_roundtrip else (c, None))))
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in TRACE.split(", ")])
-
-    return steps(host)
+            decoded = _percent_decoded(h) if decode_percent else h
+            try:
+                composed, failed = unicodedata.normalize(unicode_form, decoded), False
+            except ValueError:
+                composed, failed = decoded, True
+            folded = composed.casefold()
+            rows.append((decoded, False, composed, failed, *(_idna(folded) if idna_roundtrip else (folded, None))))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in STEPS.split(", ")])
+
+    s = steps(before)
+    return F.struct(
+        raw.alias("raw_input"), ustrip(raw).alias("stripped_input"), parts.dropFields("host").alias("segmentation"),
+        before.alias("host_before_percent_decode"), s["decoded"].alias("host_after_percent_decode"), (before != s["decoded"]).alias("percent_decode_changed"), s["percent_error"].alias("percent_decode_error"),
+        F.lit(unicode_form).alias("unicode_form"), s["composed"].alias("host_after_unicode_normalization"), s["unicode_error"].alias("unicode_normalization_error"), F.lit(True).alias("casefolded"),
+        F.lit(idna_roundtrip).alias("idna_roundtrip"), s["idna_backend"].alias("idna_backend"), (F.lit(idna_roundtrip) & s["idna_backend"].isNull()).alias("idna_error"), s["normalized"].alias("normalized_hostname"),
+    )
 
 
 def normalized(value: Column, unicode_form: str = "NFKC", decode_percent: bool = True, idna_roundtrip: bool = True) -> Column:
@@ -222,15 +236,28 @@ def punctuation_replaced(host: Column) -> Column:
 
 
 def url_encoded_layer(text: Column) -> Column:
-    """Every character as % and its code point in hexadecimal."""
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))), "")
+    """Unreserved ASCII stays; every other character becomes % and its code point in hexadecimal."""
+    one = lambda c: F.when(c.rlike(r"^[0-9A-Za-z._~-]$"), c).otherwise(F.concat(F.lit("%"), F.when(F.ascii(c) < 16, "0").otherwise(""), F.hex(F.ascii(c))))
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
 def base64url_layer(text: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("="))
 
 
-def split_url(value: str) -> tuple[str, str]:
-    """Driver-side counterpart of `segmented`, for tests."""
-    parts = urlsplit(value)
-    return parts.netloc, parts.path
+def base32_layer(text: Column) -> Column:
+    """Base32 of the UTF-8 bytes without padding: 5 hexadecimal digits are 4 characters."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    size = F.ceil(F.char_length(digits) * 4 / 5).cast("int")
+
+    def quad(i: Column) -> Column:
+        n = F.conv(F.rpad(F.substring(digits, i * 5 + 1, F.lit(5)), 5, "0"), 16, 10).cast("long")
+        return F.concat(*(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), (F.shiftright(n, k).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for k in (15, 10, 5, 0)))
+
+    groups = F.sequence(F.lit(0), F.ceil(F.char_length(digits) / 5).cast("int") - 1)
+    return F.when(size > 0, F.left(F.array_join(F.transform(groups, quad), ""), size)).when(text.isNotNull(), "")
+
+
+def nested_escape_layer(text: Column) -> Column:
+    """Backslashes doubled, percent signs escaped."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("%25"))

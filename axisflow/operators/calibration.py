@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisflow.operators.storage import cut
+
 
 def rank_of(n: Column, alpha: float) -> Column:
     """ceil((1 - alpha)(n + 1)), between 1 and n, in double."""
@@ -12,27 +14,45 @@ def rank_of(n: Column, alpha: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.least(r, n))
 
 
-def thresholds(scores: DataFrame, alpha: float, group: str | None = None, score: str = "score", finer: int = 64) -> DataFrame:
+def finite(score: str) -> Column:
+    """The score as a double; null, NaN and infinite ones are an error."""
+    x = F.col(score).cast("double")
+    wrong = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(wrong, F.raise_error(F.lit("scores must be finite")).cast("double")).otherwise(x)
+
+
+QUANTILES = 1000  # the sketch's rank error of 1 in 10,000 is well below a step
+
+
+def thresholds(scores: DataFrame, alpha: float, group: str | None = None, score: str = "score", small: int = 1_000_000) -> DataFrame:
     """threshold, num_samples and rank, overall or of every group; without scores there is no row.
 
-    The order statistic is found without sorting a group in one task: a histogram of equal ranges tells in
-    which range the rank lies, and only that range is ranked.
+    The order statistic is found without sorting a group in one task: mergeable quantile sketches narrow
+    the range that holds the rank, about a thousandfold a round and whatever the distribution, until it
+    has at most `small` rows or one value; exact counts say where in it the rank lies. Scores that are
+    null, NaN or infinite are an error.
     """
     keys = [group] if group else []
-    data = scores.filter(F.col(score).isNotNull() & ~F.isnan(score)).select(*keys, F.col(score).cast("double").alias("_s"))
-    bounds = data.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"), F.count(F.lit(1)).alias("num_samples")).filter("num_samples > 0")
-    bounds = bounds.withColumn("rank", rank_of(F.col("num_samples"), alpha))
-    joined = _joined(data, bounds, keys)
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_s") - F.col("_lo")) / width * finer), F.lit(finer - 1))).otherwise(0)
-    joined = joined.select(*keys, "_s", "num_samples", "rank", cell.alias("_cell"))
-    cells = joined.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("rank").alias("rank"))
-    upto = Window.partitionBy(*keys).orderBy("_cell")
-    cells = cells.withColumn("_upto", F.sum("_n").over(upto)).filter((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_n") < F.col("rank")))
-    cells = cells.select(*keys, "_cell", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_within"))
-    some = _joined(joined, cells, [*keys, "_cell"])
-    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_s")))
-    return ranked.filter("_r = _within").select(*keys, F.col("_s").alias("threshold"), "num_samples", "rank")
+    data = scores.select(*keys, finite(score).alias("_s"))
+    state = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"), F.min("_s").alias("_lo"), F.max("_s").alias("_hi")).filter("num_samples > 0")
+    state = state.withColumn("rank", rank_of(F.col("num_samples"), alpha)).withColumn("_at", F.col("rank")).withColumn("_n", F.col("num_samples"))
+    state = cut(state, "threshold-state")
+    is_open = (F.col("_n") > small) & (F.col("_lo") < F.col("_hi"))
+    while not state.filter(is_open).isEmpty():
+        inside = _joined(data, state.filter(is_open), keys).filter("_s between _lo and _hi")
+        steps = F.percentile_approx("_s", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000)
+        sketched = inside.groupBy(*keys).agg(steps.alias("_q"), F.first("_at").alias("_due"), F.count(F.lit(1)).alias("_all"))
+        step = lambda shift: F.element_at("_q", F.greatest(F.lit(1), F.least(F.lit(QUANTILES + 1), F.floor(F.col("_due") / F.col("_all") * QUANTILES).cast("int") + shift)))
+        narrow = cut(sketched.select(*keys, step(0).alias("_a"), step(3).alias("_b")), "threshold-range")
+        found = _joined(inside, narrow, keys).groupBy(*keys, "num_samples", "rank", "_at", "_n", "_lo", "_hi", "_a", "_b").agg(F.count_if(F.col("_s") < F.col("_a")).alias("_below"), F.count_if(F.col("_s").between(F.col("_a"), F.col("_b"))).alias("_within"))
+        hit = (F.col("_at") > F.col("_below")) & (F.col("_at") <= F.col("_below") + F.col("_within"))
+        checked = F.when(hit, F.col("_at") - F.col("_below")).otherwise(F.raise_error(F.lit("a quantile sketch missed its bounds")).cast("long"))
+        closer = found.select(*keys, "num_samples", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), "rank", checked.alias("_at"), F.col("_within").alias("_n"))
+        state = cut(state.filter(~is_open).unionByName(closer), "threshold-state")
+    same = state.filter("_lo = _hi").select(*keys, F.col("_lo").alias("threshold"), "num_samples", "rank")
+    some = _joined(data, state.filter("_lo < _hi"), keys).filter("_s between _lo and _hi")
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_s"))).filter("_r = _at")
+    return same.unionByName(ranked.select(*keys, F.col("_s").alias("threshold"), "num_samples", "rank"))
 
 
 def _joined(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,18 +69,21 @@ def metadata(thresholds_: DataFrame, alpha: float) -> DataFrame:
 
 
 def p_values(scores: DataFrame, benign: DataFrame, score: str = "score") -> DataFrame:
-    """(1 + benign scores at least as high) / (n + 1) for each row, by one union sorted by range partitions.
+    """(1 + benign scores at least as high) / (n + 1) for each row; 1 without benign scores. Non-finite scores are an error.
 
-    Counts of benign rows above come from sums of whole partitions and a running sum within each.
+    Counts are kept by distinct score, which combines equal ones before they move. These are sorted by
+    range partitions, once, into a table with the number of the partition; what lies above a score is then
+    the sum of whole partitions and a running sum within one, and no task sees all rows.
     """
-    both = scores.select("*", F.lit(0).alias("_b")).unionByName(benign.select(score, F.lit(1).alias("_b")), allowMissingColumns=True)
-    ranged = both.repartitionByRange(F.desc(score)).withColumn("_part", F.spark_partition_id())
-    sums = Window.orderBy("_part")
-    before = ranged.groupBy("_part").agg(F.sum("_b").alias("_n")).withColumn("_before", F.sum("_n").over(sums) - F.col("_n"))
-    n = benign.agg(F.count(F.lit(1)).alias("_total"))
-    above = F.sum("_b").over(Window.partitionBy("_part").orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.withColumn("_above", above).filter("_b = 0").join(F.broadcast(before), "_part").crossJoin(F.broadcast(n))
-    return out.withColumn("p_value", (1 + F.col("_above") + F.col("_before")) / (F.col("_total") + 1)).select(*scores.columns, "p_value")
+    each = benign.select(finite(score).alias("_s"), F.lit(1).alias("_b")).unionByName(scores.select(finite(score).alias("_s"), F.lit(0).alias("_b")))
+    counts = each.groupBy("_s").agg(F.sum("_b").alias("_b"))
+    ranged = cut(counts.repartitionByRange(F.desc("_s")).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_part").agg(F.sum("_b").alias("_n"))
+    total = parts.agg(F.sum("_n")).first()[0] or 0
+    before = parts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")  # a row a partition
+    above = F.sum("_b").over(Window.partitionBy("_part").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    known = ranged.withColumn("_above", above).join(before, "_part").select("_s", ((1 + F.col("_above") + F.col("_before")) / F.lit(total + 1.0)).alias("p_value"))
+    return scores.withColumn("_s", finite(score)).join(known, "_s").select(*scores.columns, "p_value")
 
 
 def decided(scores: DataFrame, grouped: DataFrame | None, default: float | None, group: str = "calibration_group", score: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,11 @@ def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
 
 def smoothed(samples: DataFrame, id_col: str, prediction: str, alpha: float = 0.05) -> DataFrame:
     """Majority vote of the predictions on random edits of each row, with exact bounds on its share."""
-    bounds = F.udf(lambda k, n: clopper_pearson(k, n, alpha), "struct<low:double,high:double>")
+    @F.pandas_udf("struct<low:double,high:double>")
+    def bounds(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        known = {pair: clopper_pearson(*pair, alpha) for pair in set(zip(k.tolist(), n.tolist()))}  # once for each pair of a batch
+        return pd.DataFrame([known[pair] for pair in zip(k.tolist(), n.tolist())], columns=["low", "high"])
+
     votes = samples.groupBy(id_col, prediction).agg(F.count(F.lit(1)).alias("votes"))
     ranked = votes.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("votes"), prediction)))
     out = ranked.groupBy(id_col).agg(F.sum("votes").alias("n"), F.max_by(prediction, -F.col("r")).alias("prediction"), F.max("votes").alias("top"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("votes"))), F.lit(0)).alias("second"))

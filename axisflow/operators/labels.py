@@ -14,6 +14,8 @@ from axisflow.functions.host import ustrip
 from axisflow.functions.release import slug
 
 POLICIES = ("resolved", "resolved-or-disagree-malicious", "first-only", "second-only", "any-malicious-else-benign", "both-disagree-malicious", "both-disagree-benign", "both-disagree-unknown")
+#: Names of policies after the annotators, in the order of the columns.
+ALIASES = {"gpt-5.5-only": "first-only", "opus-4.8-only": "second-only", "sonnet-only": "first-only", "opus-only": "second-only"}
 FAMILY_GROUPS = {"both": ("user_logins", "dns_hostnames")}
 
 
@@ -35,6 +37,7 @@ def _agreed(a: Column, b: Column, fallback: str) -> Column:
 
 def resolved_label(policy: str, resolved: Column, first: Column, second: Column) -> Column:
     r, a, b = letter(resolved), letter(first), letter(second)
+    policy = ALIASES.get(policy, policy)
     if policy == "resolved":
         return r
     if policy == "resolved-or-disagree-malicious":

@@ -63,8 +63,7 @@ def accounting(rows: DataFrame) -> DataFrame:
 
 def breakdown(rows: DataFrame, columns=("split", "source_family", "label", "evidence_tier", "sink_family")) -> DataFrame:
     """Counts by each column, all in one aggregation over grouping sets."""
-    sets = ", ".join(f"({c})" for c in columns)
-    names = ", ".join(columns)
-    which = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns) + " END"
-    rows.createOrReplaceTempView("_breakdown")
-    return rows.sparkSession.sql(f"SELECT {which} AS dimension, coalesce({names}) AS value, count(*) AS rows FROM _breakdown GROUP BY GROUPING SETS ({sets})")
+    which = F.coalesce(*(F.when(F.grouping(c) == 0, F.lit(c)) for c in columns)).alias("dimension")
+    cols = [F.col(c) for c in columns]
+    grouped = rows.groupingSets([[c] for c in cols], *cols).agg(which, F.count(F.lit(1)).alias("rows"))
+    return grouped.select("dimension", F.coalesce(*columns).alias("value"), "rows")

@@ -30,9 +30,11 @@ def mixture_weights(families: DataFrame, weights: Mapping[str, float] | None = N
     """family, log_weight: uniform, or the given weights, which must name exactly the families and are made to sum to 1."""
     if weights is None:
         return families.select("family", (-F.ln(F.count(F.lit(1)).over(Window.partitionBy()))).alias("log_weight"))
-    names = {r["family"] for r in families.select("family").distinct().collect()}
-    if names != set(weights):
-        raise ValueError(f"weights lack {sorted(names - set(weights))} and have unknown {sorted(set(weights) - names)}")
+    known = families.select("family").distinct()
+    lacking = [r["family"] for r in known.filter(~F.col("family").isin(*weights)).limit(20).collect()]
+    unknown = set(weights) - {r["family"] for r in known.filter(F.col("family").isin(*weights)).collect()}  # no more than weights
+    if lacking or unknown:
+        raise ValueError(f"weights lack {sorted(lacking)} and have unknown {sorted(unknown)}")
     if any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     total = sum(weights.values())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--cones", type=int, default=4096)
         s.add_argument("--dim", type=int, default=384)
         s.add_argument("--radius", type=int, default=1)
+        s.add_argument("--drop-groups", action="store_true")
     return p
 
 
@@ -47,9 +49,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "calibrate":
         model.calibrate(model.score(rows)).save(a.model)
     elif a.command == "refresh-benign":
-        new, delta = model.refresh(rows)
+        new, report = model.refresh(rows, drop_groups=a.drop_groups)
         new.save(a.model)
-        print(f"l1_delta={delta:.6f} threshold={new.threshold:.6f}")
+        print(json.dumps(report, sort_keys=True))
     elif a.command == "explain":
         model.explain(rows).join(rows.select("vec_id", "hostname"), "vec_id").write.json(a.out)
     elif a.command == "score":

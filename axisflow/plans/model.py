@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -31,6 +32,8 @@ class Config:
     def __post_init__(self):
         if min(self.dim, self.cones, self.r) < 1 or self.r > self.cones:
             raise ValueError("dim, cones and r must be positive, and r at most cones")
+        if not all(math.isfinite(x) for x in (self.temperature, self.smoothing, self.alpha, self.effective_count)):
+            raise ValueError("temperature, smoothing, alpha and effective_count must be finite")
         if self.temperature <= 0 or self.smoothing < 0 or self.effective_count <= 0 or not 0 < self.alpha < 1:
             raise ValueError("temperature and effective_count must be positive, smoothing not negative, alpha between 0 and 1")
 
@@ -93,6 +96,14 @@ class Model:
             wrong = prior.groupBy(*keys).agg(F.sum("p").alias("s"), F.min("p").alias("least"), F.count_distinct("cone").alias("n")).filter((F.abs(F.col("s") - 1) > tolerance) | (F.col("least") < 0) | (F.col("n") != c.cones))
             if not wrong.isEmpty():
                 raise ValueError("a prior is no distribution over the cones")
+        if self.malicious.isEmpty():
+            raise ValueError("the model has no malicious prior")
+        if not self.malicious.filter(F.coalesce(F.trim("family"), F.lit("")) == "").isEmpty():
+            raise ValueError("families need names")
+        self.mixture()  # refuses weights that do not name exactly the families
+        unfit = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+        if self.threshold is not None and not math.isfinite(self.threshold) or self.groups is not None and not self.groups.filter(unfit(F.col("threshold"))).isEmpty():
+            raise ValueError("thresholds must be finite")
 
     # --- using ------------------------------------------------------------------------------
 
@@ -125,13 +136,28 @@ class Model:
             raise ValueError("the model is not calibrated")
         return calibration.decided(scored, self.groups, self.threshold if use_default or self.groups is None else None)
 
-    def refresh(self, window: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[Model, float]:
-        """A model with benign prior and threshold of a new window, and how far the prior moved; this one stays as it is."""
+    def refresh(self, window: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", alpha: float | None = None, group: str | None = None, drop_groups: bool = False, approximate: int | None = None) -> tuple[Model, dict]:
+        """A model with benign prior and thresholds of a new window, and a report of what changed; this one stays as it is.
+
+        A model with group thresholds needs a column of new groups, or `drop_groups`.
+        """
+        if self.groups is not None and group is None and not drop_groups:
+            raise ValueError("the model has group thresholds: name a column of new groups, or drop them with drop_groups")
         require_usable(window, vector_col, self.config.dim)
         prior = cut(scoring.priors(self.sketches(window, None, id_col, vector_col), self.axes.select("cone"), None, self.config.smoothing), "prior")
-        new = replace(self, benign=prior, groups=None)
-        delta = scoring.l1_delta(self.benign, prior).first()["l1_delta"]
-        return new.calibrate(new.score(window, None, id_col, vector_col)), delta
+        config = replace(self.config, alpha=self.config.alpha if alpha is None else alpha)
+        new = replace(self, config=config, benign=prior, groups=None)
+        scored = new.score(window, approximate, id_col, vector_col)
+        new = new.calibrate(scored.join(window.select(id_col, group), id_col) if group else scored, group)
+        count = lambda m: 0 if m.groups is None else m.groups.count()
+        dropped = self.groups is not None and group is None
+        stats = calibration.thresholds(scored, config.alpha).first()
+        return new, {
+            "threshold": new.threshold, "alpha": config.alpha, "num_samples": stats["num_samples"], "rank": stats["rank"], "old_threshold": self.threshold, "old_n_calibration_groups": count(self), "n_calibration_groups": count(new),
+            "threshold_source": "grouped_benign_refresh_scores" if group else "benign_refresh_scores", "grouped_thresholds_dropped": dropped, "benign_prior_l1_delta": scoring.l1_delta(self.benign, prior).first()["l1_delta"],
+            "score_path": {"approximate": approximate is not None, "approximate_k": approximate},
+            "refresh_scope": {"benign_prior_updated": True, "threshold_updated": True, "grouped_thresholds_updated": group is not None, "grouped_thresholds_dropped": dropped} | dict.fromkeys(("malicious_priors_fixed", "encoder_config_fixed", "cone_axes_fixed", "scoring_config_fixed"), True),
+        }
 
 
 def require_usable(vectors: DataFrame, column: str, dim: int) -> None:

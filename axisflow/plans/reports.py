@@ -32,8 +32,16 @@ def audit_markdown(audit: Mapping[str, Any], title: str = "Release audit") -> st
     return "\n".join(lines) + "\n"
 
 
+def histogram(df: DataFrame, column: str, most: int = 1000) -> dict[str, int]:
+    """Rows by value; more than `most` values, which public columns never have, are an error."""
+    rows = df.groupBy(column).count().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has over {most} values")
+    return {str(r[column]): r["count"] for r in rows}
+
+
 def data_card(release: DataFrame, version: str) -> str:
-    counts = {c: {str(r[c]): r["count"] for r in release.groupBy(c).count().orderBy(c).collect()} for c in ("label", "split", "source_family")}
+    counts = {c: histogram(release, c) for c in ("label", "split", "source_family")}
     body = [f"# Data card, {version}", "", f"Fields: {', '.join(PUBLIC_FIELDS)}.", "", "Artifacts are rewritten row by row under a key; they are no live names and equal inputs do not link."]
     for c, values in counts.items():
         body += ["", f"## {c}", "", *(f"- {k}: {n}" for k, n in values.items())]
@@ -42,7 +50,7 @@ def data_card(release: DataFrame, version: str) -> str:
 
 def stage_manifests(release: DataFrame, path: Path, version: str) -> list[Path]:
     """One JSON file a stage, with row counts and histograms of the public columns."""
-    histograms = {c: {str(r[c]): r["count"] for r in release.groupBy(c).count().collect()} for c in ("time_bucket", "source_family", "label")}
+    histograms = {c: histogram(release, c) for c in ("time_bucket", "source_family", "label")}
     n = sum(histograms["label"].values())
     path.mkdir(parents=True, exist_ok=True)
     out = []

@@ -20,18 +20,34 @@ def read_benchmark(spark: SparkSession, root: str, columns: Sequence[str], famil
     """All-string rows of the chosen families, with the chunk's number and family; only their files are listed and read."""
     manifest = read_manifest(spark, root)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    out = None
-    for name in families(family):
-        paths = [f"{root}/{c['path']}" for c in manifest["datasets"][name]["chunks"]]
-        if not paths:
-            continue
-        df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(paths)
-        numbers = F.create_map(*(F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)))
-        df = df.withColumn("chunk_family", F.lit(name)).withColumn("chunk", F.element_at(numbers, F.col("_metadata.file_name"))).withColumn("chunk_row", F.monotonically_increasing_id())
-        out = df if out is None else out.unionByName(df)
-    if out is None:
+    chunks = [(name, i, c["path"]) for name in families(family) for i, c in enumerate(manifest["datasets"][name]["chunks"])]
+    if not chunks:
         raise ValueError("the manifest has no chunk of these families")
-    return out
+    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv([f"{root}/{p}" for *_, p in chunks])
+    # a chunk is one multi-line file, so one task reads it in order; the row numbers of a task count on over its files
+    df = df.withColumn("_file", F.url_decode(F.col("_metadata.file_path"))).withColumn("_row", F.monotonically_increasing_id())
+    known = spark.createDataFrame([(*c[:2], "/" + c[2].lstrip("/")) for c in chunks], "chunk_family string, chunk int, _path string")
+    first = df.groupBy("_file").agg(F.min("_row").alias("_first"))
+    places = first.join(known, F.col("_file").endswith(F.concat(F.lit("/" + root.rstrip("/").rsplit("/", 1)[-1]), F.col("_path"))))
+    return df.join(F.broadcast(places.drop("_path")), "_file").withColumn("chunk_row", F.col("_row") - F.col("_first")).drop("_file", "_row", "_first")
+
+
+def row_at(rows: DataFrame, ordinal: int) -> DataFrame:
+    """The row of an ordinal over the chunks in order of the manifest; negative ones count from the end.
+
+    Only row counts of chunks come to the driver: their running sum tells the chunk and the row in it.
+    """
+    sizes = rows.groupBy("chunk_family", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.orderBy(F.col("chunk_family"), "chunk").collect()
+    total = sum(r["n"] for r in sizes)
+    at = ordinal + total if ordinal < 0 else ordinal
+    if not 0 <= at < total:
+        raise IndexError(f"{ordinal} is not among {total} rows")
+    for r in sizes:
+        if at < r["n"]:
+            return rows.filter((F.col("chunk_family") == r["chunk_family"]) & (F.col("chunk") == r["chunk"]) & (F.col("chunk_row") == at))
+        at -= r["n"]
+    raise AssertionError
 
 
 def export(release: DataFrame, routes: dict[str, str], path: str) -> DataFrame:

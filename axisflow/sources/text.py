@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisflow.functions.host import ustrip
+from axisflow.operators.storage import cut
 
 #: Line ends besides those the text reader knows: VT, FF, FS, GS, RS, NEL, LS, PS.
 MORE_LINE_ENDS = "[\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
 def read_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
-    """ord, value: stripped lines in file order, blank ones left out."""
-    raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    """ord, value: stripped lines in order of file name and place in the file, blank ones left out."""
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("_at"))
     parts = raw.select("_at", F.posexplode(F.split("value", MORE_LINE_ENDS, -1)).alias("_i", "value"))
     lines = parts.select(F.struct("_at", "_i").alias("ord"), ustrip(F.col("value")).alias("value"))
     return lines if keep_blank else lines.filter("value <> ''")
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds `n`, 0, 1, 2... in the order of `ord`, by the sizes of range partitions."""
-    schema = T.StructType([*df.schema.fields, T.StructField("n", T.LongType(), False)])
-    return df.orderBy("ord").rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """Adds `n`, 0, 1, 2... in the order of `ord`: sorted by range partitions into a table, numbered within each, plus the sizes of those before."""
+    ranged = cut(df.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_row", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row a partition
+    out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.select(*df.columns, (F.col("_before") + F.col("_row") - F.shiftleft("_part", 33)).alias("n"))
 
 
 def read_parallel(spark: SparkSession, path: str, groups: str, name: str = "calibration_group") -> DataFrame:
@@ -61,6 +67,23 @@ def read_jsonl_key(spark: SparkSession, path: str, key: str = "hostname") -> Dat
     return got.select(F.when(F.is_variant_null("x"), "None").otherwise(F.try_variant_get("x", "$", "string")).alias("value"))
 
 
+def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
+    """file, value: the stripped non-blank lines of all .txt files below a folder; one that is not there has none."""
+    try:
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, value string")
+    return raw.select(F.col("_metadata.file_path").alias("file"), ustrip(F.col("value")).alias("value")).filter("value <> ''")
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Paths of all files below a folder whose names match, in order; they are a listing, so the driver has them anyway."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return sorted(df.inputFiles())
+
+
 def read_corpus(spark: SparkSession, path: str, csv_column: str | None = "Hostname") -> DataFrame:
     """value: the lines of all .txt files below a folder, and a column of its .csv files. Blank lines stay."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).select(ustrip(F.col("value")).alias("value"))
@@ -71,8 +94,14 @@ def read_corpus(spark: SparkSession, path: str, csv_column: str | None = "Hostna
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Typed rows; a malformed line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Typed rows; the first line that is no JSON object of these types is an error that tells its number. Blank lines count but give no row."""
+    lines = numbered(read_lines(spark, path, keep_blank=True)).filter("value <> ''")
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    rows = lines.select("n", F.from_json("value", wide, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("r"), F.col("value").startswith("{").alias("object"))
+    wrong = rows.filter("not object or r is null or r._bad is not null").agg(F.min("n")).first()[0]
+    if wrong is not None:
+        raise ValueError(f"{path}, line {wrong + 1}: no JSON object of the schema")
+    return rows.select(*(F.col("r")[f.name].alias(f.name) for f in schema.fields))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

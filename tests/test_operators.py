@@ -79,8 +79,15 @@ def test_model_round_trip(spark, tmp_path):
     one, two = key(scored), key(again.score(e))
     assert one == pytest.approx(two) and again.threshold == model.threshold
     assert key(again.score(e, 4)) == pytest.approx(one)
-    new, delta = again.refresh(e.filter("vec_id < 10"))
-    assert delta > 0 and new.threshold != again.threshold and again.explain(e, 2).count() == 120
+    new, report = again.refresh(e.filter("vec_id < 10"))
+    grouped = again.calibrate(again.score(e).join(e.select("vec_id", "family"), "vec_id"), "family")
+    with pytest.raises(ValueError, match="group thresholds"):
+        grouped.refresh(e)
+    kept, said = grouped.refresh(e.filter("vec_id < 40"), group="family")
+    assert said["n_calibration_groups"] == said["old_n_calibration_groups"] == kept.groups.count() == 2 and not said["grouped_thresholds_dropped"]
+    bare, said = grouped.refresh(e, drop_groups=True, alpha=0.5)
+    assert bare.groups is None and said["grouped_thresholds_dropped"] and said["alpha"] == 0.5 and said["rank"] == 31
+    assert report["benign_prior_l1_delta"] > 0 and report["old_threshold"] == again.threshold and new.threshold != again.threshold and again.explain(e, 2).count() == 120
     with pytest.raises(ValueError, match="no finite"):
         again.refresh(spark.createDataFrame([(1, [0.0] * 8)], "vec_id long, embedding array<float>"))
 
@@ -169,4 +176,87 @@ def test_augmentation(spark):
     assert sorted(one.collect()) == sorted(two.collect())
     rows = one.collect()
     assert sum(r["view1"] != r["hostname"] for r in rows) > 30 and any(r["view1"] != r["view2"] for r in rows)
-    assert augment.CHANGES["truncate"]("a.b.c", None) == "b.c" and augment.punctuation("a.b-c") == "a.bc"
+    assert augment.CHANGES["truncate_subdomain"]("a.b.c", None) == "b.c" and augment.punctuation("a.b-c") == "a.bc"
+
+
+def test_thresholds_narrow_by_sketches(spark):
+    """Heavy tails, ties and groups of any size, with rounds of sketches: as by sorting."""
+    import random
+
+    r = random.Random(4)
+    xs = [r.gauss(0, 1) for _ in range(3000)] + [1e300, -1e300] + [0.25] * 1500 + [10.0 ** r.uniform(-30, 30) for _ in range(500)]
+    groups = [r.choice("aaaab") for _ in xs]
+    for alpha in (1e-4, 0.05, 0.3, 0.5, 0.97):
+        got = {r["g"]: (r["threshold"], r["num_samples"]) for r in calibration.thresholds(scores(spark, xs, groups).repartition(7), alpha, "g", small=20).collect()}
+        for g in "ab":
+            own = sorted(x for x, k in zip(xs, groups) if k == g)
+            assert got[g] == (own[max(1, min(math.ceil((1.0 - alpha) * (len(own) + 1)), len(own))) - 1], len(own))
+    for bad in (None, math.nan, math.inf):
+        with pytest.raises(Exception, match="finite"):
+            calibration.thresholds(spark.createDataFrame([(1.0,), (bad,)], "score double"), 0.1).collect()
+
+
+def test_p_values_over_many_partitions(spark):
+    import bisect
+    import random
+
+    r = random.Random(5)
+    benign, xs = sorted(round(r.gauss(0, 1), 3) for _ in range(4000)), [round(r.gauss(0, 1), 3) for _ in range(6000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        for k in list(before)[1:]:
+            spark.conf.set(k, "2k")
+        df = spark.createDataFrame(list(enumerate(xs)), "id long, score double").repartition(5)
+        got = {x["id"]: x["p_value"] for x in calibration.p_values(df, spark.createDataFrame([(x,) for x in benign], "score double").repartition(3)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 6000
+    for i, x in enumerate(xs):
+        assert got[i] == pytest.approx((1 + 4000 - bisect.bisect_left(benign, x)) / 4001, abs=1e-12)
+    assert calibration.p_values(df.limit(3), df.select("score").limit(0)).select("p_value").distinct().first()[0] == 1.0
+
+
+def test_nearest_axes_above_the_bound(spark):
+    axes = sketch.random_axes(spark, 50, 6)
+    v = spark.createDataFrame([(i, [math.sin(i * j + i) for j in range(6)]) for i in range(30)], "vec_id long, embedding array<float>")
+    want = {(r["vec_id"], r["rank"]): r["cone"] for r in sketch.nearest_exact(v, axes, 4).collect()}
+    assert want == {(r["vec_id"], r["rank"]): r["cone"] for r in sketch.sketch_sql(v, axes, 4).collect()}
+    assert want == {(r["vec_id"], r["rank"]): r["cone"] for r in sketch.nearest_exact(v, axes, 4, bound=300).collect()}
+    some = sketch.nearest_with_lsh(v, axes, 4, bound=300, tables=2, bits=8).collect()
+    assert {(r["vec_id"], r["rank"]) for r in some} == set(want)
+    wide = {(r["vec_id"], r["rank"]): r["cone"] for r in sketch.nearest_with_lsh(v, axes, 4, bound=300, tables=3, bits=4, radius=4).collect()}
+    assert wide == want  # every bucket is probed
+
+
+def test_augmentation_by_configuration(spark):
+    import random
+
+    from axisflow.functions import host as H
+
+    texts = ["a b.com", "x%y\\z", "é.example", "", "A-Z._~9"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, native in {"url": H.url_encoded_layer, "base64": H.base64url_layer, "base32": H.base32_layer, "nested": H.nested_escape_layer}.items():
+        assert [r["x"] for r in df.select(native(F.col("t")).alias("x")).collect()] == [augment.LAYERS[name][1](t) for t in texts]
+    assert augment.LAYERS["url"][1]("a b") == "a%20b" and augment.LAYERS["nested"][1]("a\\b%41") == "a\\\\b%2541" and augment.LAYERS["base32"][1]("ab") == "MFRA"
+    still = augment.AugmentConfig(benign_max_edits=0)
+    assert all(augment.augmented("a-b.example.com", False, random.Random(i), still) == "a-b.example.com" for i in range(20))
+    one = augment.AugmentConfig(benign_min_edits=1)
+    near = set(edits.neighbors("a-b.example.com", augment.BENIGN_RULES)) | {"a-b.example.com"}
+    assert {augment.augmented("a-b.example.com", False, random.Random(i), one) for i in range(50)} <= near
+    bare = augment.config_of("weighted", num_augs=0)
+    assert not bare.normalize_input and not bare.use_edit_model and augment.augmented("example.com", True, random.Random(1), bare) == "example.com"
+    toggled = augment.AugmentConfig(use_edit_model=False, use_weighted_augs=True, weighted=augment.WeightedConfig(1, {"toggle_protocol": 1.0}))
+    assert augment.augmented("www.example.com", False, random.Random(2), toggled) == "example.com"
+    for bad in ({"benign_min_edits": 2}, {"weighted": 0}):
+        with pytest.raises(ValueError):
+            augment.AugmentConfig(**bad) if "weighted" not in bad else augment.WeightedConfig(max_attempts=0)
+    with pytest.raises(ValueError, match="mode"):
+        augment.config_of("other")
+
+
+def test_smoothed_votes_have_exact_bounds(spark):
+    rows = spark.createDataFrame([(1, i < 8) for i in range(10)] + [(2, i < 5) for i in range(10)], "id long, p boolean")
+    got = {r["id"]: r for r in certify.smoothed(rows, "id", "p").collect()}
+    assert (got[1]["low"], got[1]["high"]) == pytest.approx(certify.clopper_pearson(8, 10)) and got[1]["prediction"] and (got[1]["top"], got[1]["second"], got[2]["top"]) == (8, 2, 5) and not got[2]["certified"]
