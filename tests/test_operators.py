@@ -260,3 +260,25 @@ def test_smoothed_votes_have_exact_bounds(spark):
     rows = spark.createDataFrame([(1, i < 8) for i in range(10)] + [(2, i < 5) for i in range(10)], "id long, p boolean")
     got = {r["id"]: r for r in certify.smoothed(rows, "id", "p").collect()}
     assert (got[1]["low"], got[1]["high"]) == pytest.approx(certify.clopper_pearson(8, 10)) and got[1]["prediction"] and (got[1]["top"], got[1]["second"], got[2]["top"]) == (8, 2, 5) and not got[2]["certified"]
+
+
+def test_release_rules(spark):
+    def one(rule, *texts):
+        df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("tag", F.lit("abcdefgh")).withColumn("digits", F.lit("0123456789" * 3))
+        return [r["x"] for r in df.select(rule(F.col("v")).alias("x")).collect()]
+
+    assert one(release.reserved_domains, "a.com b.co.uk", "x.test", "10.0.0.1", "plain") == ["a.test b.co.test", "x.test", "10.0.0.test", "plain"]
+    assert one(release.reserved_end, "a.b.", "a", "a.longsuffix", "..") == ["a.test.", "a", "a.localhost", ".."]
+    assert one(lambda v: release.without_internal_labels(v, F.col("tag")), "x.corp.y", "SVC", "internal") == ["x.abcd.y", "abc", "abcdefgh"]
+    assert one(lambda v: release.documented_addresses(v, F.col("digits"), F.col("tag")), "8.8.8.8", "192.0.2.7 x", "a") == ["192.0.2.13.abcd.test", "192.0.2.7 x", "a"]
+    assert one(lambda v: release.with_tag(v, F.col("tag")), "a", "a.b.test", "a.b", "test", "..", "xabcdefgh") == ["aabcdefgh.test", "a.babcdefgh.test", "a.babcdefgh.test", "testabcdefgh.test", "...abcdefgh.test", "xabcdefgh"]
+    assert one(release.safely_spelled, "Hacker.evil", "hack eyJ", "localhost") == ["operator.edge", "host exj", "lqcalhost"]
+    s = release.Secrets("a", "b", "c")
+    raws = ["API-Gate_way9.Example.com/%2Fpath%zz", "1.2.3.4", "", "useast1.prod", "user@corp.local", "x" * 40 + ".com", "ünï.de", "%2Fcat%zz9"]
+    got = [r for r in release.with_released_artifact(spark.createDataFrame(list(enumerate(raws)), "row_id string, raw string"), s).collect()]
+    out = {r["raw"]: r["released_artifact"] for r in got}
+    first = out[raws[0]]
+    assert first.startswith("API-") and out["%2Fcat%zz9"].startswith("%2Fcat%") and "Gate" not in first and first[4].isupper() and first[12].isdigit()
+    assert out["1.2.3.4"].startswith("192.0.2.") and out["useast1.prod"].startswith("useast1") and "@" not in out["user@corp.local"]
+    assert all(o.rsplit(".", 1)[-1] in ("test", "invalid", "example", "localhost", "lqcalhost") for o in out.values() if "%" not in o)
+    assert len(set(out.values())) == len(raws)
