@@ -189,3 +189,39 @@ def test_a_report_far_back_in_a_clause_counts():
     score = lambda t: toxicity.features(t, toxicity.Lexicon({}, {}))[0]
     report, far = "he said " + "word " * 2, "he said " + "word " * 60
     assert score(report + "idiot") == pytest.approx(score(far + "idiot")) and score(far + "idiot") < score("word " * 60 + "idiot")
+
+
+def test_templates_decide_without_names(spark):
+    """Menus, adverts and footers that say something new on each page and have telling names nowhere go by their shape; without the method they stay."""
+    words = random.Random(6)
+    some = lambda n: " ".join("".join(words.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    def page(i, frame):
+        links = "".join(f"<li><a href=/{k}>{some(1)}</a>" for k in range(3 + i % 3))
+        own = f"<h1>{some(3)}</h1><p>{some(30)}</p><p>{some(40)} <b>{some(2)}</b></p>"
+        return f"<body><div class='q{i}'><ul>{links}</ul></div><div class='zz'>{some(6)}</div>{frame.format(own)}<div class='w'><p>{some(4)}</p></div></body>", own
+
+    rows, want = [], {}
+    for k, frame in enumerate(("<article>{}</article>", "<div class='m'>{}</div>", "<div><div>{}</div></div>")):
+        for i in range(30):
+            html, own = page(i, frame)
+            rows.append((100 * k + i, f"http://h{k}.example/{i}", html))
+            want[100 * k + i] = html_templates.main_text(own)
+    html, own = page(1, "<article>{}</article>")
+    rows.append((999, "http://few.example/", html))  # a host of one page: by the rules
+    want[999] = html_templates.main_text(own)
+    rows += [(1000 + i, "http://same.example/", html) for i in range(12)]  # a page in many copies stays whole
+    want |= {1000 + i: want[999] for i in range(12)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_templates.extract_main_text(pages).collect()}
+    assert got == want
+    off = {r["page_id"]: r["text"] for r in html_templates.extract_main_text(pages, method=False).collect()}
+    assert sum(off[i] != want[i] for i in want if 100 <= i < 300) == 60
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    wide = "<p>" + "word " * 200_000 + "</p>" + "<li>x" * 20_000
+    pages = spark.createDataFrame([(1, "http://a.example", deep, 7), (2, "http://a.example", wide, 8), (3, None, None, 9)], "page_id long, url string, html string, n_chars int")
+    got = {r["page_id"]: r["text"] for r in html_templates.extract_main_text(pages).collect()}
+    assert got[1] == "deep" and got[2].count("word") == 200_000 and got[2].count("x") == 20_000 and got[3] == ""
