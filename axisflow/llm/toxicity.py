@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols by a weighted lexicon: insults, threats, targets, negations, reporting verbs. Three
-sequential transducers, composed into one machine, rewrite insults and threats that are negated, reported
-or aimed at someone; a second pass from the right finds targets that follow. What a clause then scores is
-the sum of the weights it accepts, and a logistic curve over the clause scores gives the document's.
-The lexicon starts from fixed words and learns further words and word beginnings from labelled rows.
+Words and phrases become symbols by a weighted lexicon. Five sequential transducers, composed into one
+machine, read a clause: insults that a copula predicates, threats that an intention announces, negation,
+reported speech, and targets that come first; a second machine from the right finds targets that follow.
+What a clause then scores is the sum of the weights it accepts, and a logistic curve over the clause
+scores gives the document's. The lexicon starts from fixed words and learns further words and word
+beginnings from labelled rows, each as an insult or a threat by the company it keeps.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from axisflow.llm.shared import lean
+
 # The words that the grammar knows without labels.
 INSULTS = "asshole bastard bitch clown cretin cunt degenerate dickhead disgusting dumb dumbass fool freak idiot imbecile jerk loser moron parasite pathetic pig retard scum scumbag slut stupid subhuman trash vermin whore worthless".split()
 THREATS = "burn choke crush destroy hurt kill murder punish shoot slaughter smash stab strangle suffer".split()
@@ -27,8 +30,14 @@ TARGETS = "du ihr du's du're eres euch he her him she them they these those tu u
 NEGATIONS = "ain't aren't cannot don't isn't jamais kein keine ne never nicht no not nunca pas wasn't without".split()
 REPORTS = "accused alleged called claimed diciendo dijo dit quoted reported sagte said says tweeted wrote".split()
 
-REACH_NEGATION, REACH_TARGET = 3, 4
-FACTORS = {"I": 1.0, "J": 1.4, "i": 0.15, "q": 0.35, "T": 0.25, "K": 1.2, "t": 0.05}
+INTENTIONS = "going gonna hope let's lets must shall should vais voy wait want will wirst werde wünsche".split()
+COPULAS = "am are be bist eres es estás is like looks seid sind suis sois was were you're youre du's".split()
+PHRASES = {"I": ["drop dead", "go to hell", "piece of trash", "piece of garbage", "shut up", "waste of space"], "T": ["burn in hell", "cut your throat", "end your life", "make you pay", "watch your back"]}
+
+REACH = {"negation": 3, "target": 4, "copula": 4, "intention": 4}
+#: Symbols: insult, threat verb, target, negation, report, intention, copula; then rewritten: predicated (P) and aimed (J) insult,
+#: announced (H), aimed (U) and both (K) threat, negated (i, t), reported (q).
+FACTORS = {"I": 1.0, "P": 1.2, "J": 1.4, "i": 0.15, "q": 0.35, "T": 0.25, "H": 0.6, "U": 0.6, "K": 1.2, "t": 0.05}
 CLAUSE_END = (".", "!", "?", ";", ":", "…")
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…¡¿–—"
 
@@ -79,11 +88,16 @@ def since(opener: str, rewrite: dict[str, str]) -> Transducer:
     return Transducer(0, lambda on, symbol: (1 if symbol == opener else on, rewrite.get(symbol, symbol) if on else symbol))
 
 
-INPUT = ".ITYNR"
-FORWARD = within("N", REACH_NEGATION, {"I": "i", "T": "t"}).then(since("R", {"I": "q", "T": "q"})).then(within("Y", REACH_TARGET, {"I": "J", "T": "K"}))
-BACKWARD = within("Y", REACH_TARGET, {"I": "J", "T": "K"})
+INPUT = ".ITYNRMC"
+INSULT = within("C", REACH["copula"], {"I": "P"})
+THREAT = within("M", REACH["intention"], {"T": "H"})
+NEGATION = within("N", REACH["negation"], {"I": "i", "P": "i", "T": "t", "H": "t"})
+REPORTED = since("R", {"I": "q", "P": "q", "T": "t", "H": "q"})
+AIMED = within("Y", REACH["target"], {"I": "J", "P": "J", "T": "U", "H": "K"})
+FORWARD = INSULT.then(THREAT).then(NEGATION).then(REPORTED).then(AIMED)
+BACKWARD = AIMED
 FORWARD_TABLE = FORWARD.table(INPUT)
-BACKWARD_TABLE = BACKWARD.table(INPUT + "iqtJK")
+BACKWARD_TABLE = BACKWARD.table(INPUT + "".join(FACTORS))
 
 
 def run(start, table: dict, symbols: Iterable[str]) -> list[str]:
@@ -103,12 +117,17 @@ def clause_score(symbols: list[str], weights: list[float]) -> float:
 class Lexicon:
     """Symbol and weight of a word, by whole words and by beginnings of words; the answers for raw words are kept, at most `bound`."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], bound: int = 200_000):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], threats: frozenset[str] = frozenset(), bound: int = 100_000):
         self.words: dict[str, tuple[str, float]] = {}
-        for symbol, known in (("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)):
+        for symbol, known in (("C", COPULAS), ("M", INTENTIONS), ("R", REPORTS), ("N", NEGATIONS), ("Y", TARGETS), ("T", THREATS), ("I", INSULTS)):
             self.words |= {w: (symbol, 4.0) for w in known}
-        self.words |= {w: ("I", x) for w, x in words.items()}
-        self.beginnings = {w: ("I", x) for w, x in beginnings.items()}
+        kind = lambda w: "T" if w in threats else "I"
+        self.words |= {w: (kind(w), x) for w, x in words.items()}
+        self.beginnings = {w: (kind(w), x) for w, x in beginnings.items()}
+        self.phrases: dict[str, list[tuple[list[str], str]]] = {}
+        for symbol, known in PHRASES.items():
+            for first, *rest in map(str.split, known):
+                self.phrases.setdefault(first, []).append((rest, symbol))
         self.lengths = sorted({len(w) for w in beginnings}, reverse=True)
         self.bound, self.known = bound, {}
 
@@ -117,7 +136,7 @@ class Lexicon:
 
     def look(self, raw: str) -> tuple[str, float] | None:
         word = raw.lower().strip(STRIP)
-        found = self.words.get(word)
+        found = ("F", 0.0) if word in self.phrases else self.words.get(word)
         if not found:
             found = next((x for n in self.lengths if len(word) >= n and (x := self.beginnings.get(word[:n]))), None)
         if len(self.known) >= self.bound:
@@ -126,8 +145,14 @@ class Lexicon:
         return found
 
     def symbols(self, words: list[str]) -> list[tuple[str, float] | None]:
+        """Symbol and weight of each word; the first word of a phrase stands for the whole of it."""
         get, missing = self.known.get, self.look
-        return [missing(w) if (x := get(w, 0)) == 0 else x for w in words]
+        out = [missing(w) if (x := get(w, 0)) == 0 else x for w in words]
+        for i in [i for i, x in enumerate(out) if x and x[0] == "F"]:
+            first, *_ = plain = [w.lower().strip(STRIP) for w in words[i : i + 6]]
+            symbol = next((s for rest, s in self.phrases[first] if plain[1 : len(rest) + 1] == rest), None)
+            out[i] = (symbol, 4.0) if symbol else self.words.get(first)
+        return out
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -199,6 +224,22 @@ def learned(rows: list[tuple[str, int]], most: int = 500) -> tuple[dict[str, flo
     return words, beginnings
 
 
+def threats_among(found: Iterable[str], rows: list[tuple[str, int]]) -> frozenset[str]:
+    """The learned words and beginnings that follow intentions more often than copulas in toxic rows."""
+    found, first, seen = set(found), Lexicon({}, {}), Counter()
+    lengths = {len(w) for w in found}
+    for text, label in rows:
+        if not label or not found:
+            continue
+        words = text.split()
+        for i, raw in enumerate(words):
+            word = raw.lower().strip(STRIP)
+            for w in {word[:n] for n in lengths} & found:
+                before = {x[0] for x in first.symbols(words[max(0, i - REACH["intention"]) : i]) if x}
+                seen[w] += ("M" in before) - ("C" in before)
+    return frozenset(w for w, n in seen.items() if n > 0)
+
+
 #: Without labels: one plain insult is enough to be toxic, a negated or reported one is not.
 DEFAULT_CURVE = (-3.0, 0.9, 1.6, 0.2, 0.4)
 
@@ -240,7 +281,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     The curve is fitted to the rates of all labelled rows, so that a score of 0.5 means the same whether
     or not a label has more rows than `sample`. Null labels and ids are left out; without any labels the fixed words and the default curve hold.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").distinct()
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
     picked = [(r["_id"], r["_y"]) for part in some for r in part.collect()]
@@ -248,9 +289,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return Lexicon({}, {}), DEFAULT_CURVE
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, known.schema))  # at most twice `sample` numbers
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
-    table = texts.join(chosen, texts["_doc"] == chosen["_id"]).select("text", "_y").toArrow()
+    table = texts.join(chosen, texts["_doc"] == chosen["_id"]).groupBy("_doc", "_y").agg(F.min("text").alias("text")).select("text", "_y").toArrow()  # one row for an id, however often it comes
     rows = [(t or "", y) for t, y in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
-    lexicon = Lexicon(*learned(rows))
+    words, beginnings = learned(rows)
+    lexicon = Lexicon(words, beginnings, threats_among([*words, *beginnings], rows))
     # the labelled rows with a text, a sample of each label: its rows stand for as many as the label has to each that was picked
     picks, here = Counter(y for _, y in picked), Counter(y for _, y in rows)
     rates = tuple(here[y] * counts[y] / picks[y] if picks[y] else 0.0 for y in (0, 1))
@@ -277,7 +319,7 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, tuple[float, ...]], te
 
     plain = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("_text"))  # no name clashes
     schema = StructType([*plain.schema.fields[:-1], StructField("_score", DoubleType())])
-    return plain.mapInArrow(score, schema).toDF(*keep, score_col)
+    return plain.mapInArrow(lean(score), schema).toDF(*keep, score_col)
 
 
 def held_out(id_col: str = "doc_id"):

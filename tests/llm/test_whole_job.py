@@ -225,3 +225,43 @@ def test_very_long_pages_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.example", deep, 7), (2, "http://a.example", wide, 8), (3, None, None, 9)], "page_id long, url string, html string, n_chars int")
     got = {r["page_id"]: r["text"] for r in html_templates.extract_main_text(pages).collect()}
     assert got[1] == "deep" and got[2].count("word") == 200_000 and got[2].count("x") == 20_000 and got[3] == ""
+
+
+def test_grammar_is_that_of_brute_force():
+    """The composed machines against looking back from each word, rule by rule."""
+    reach, rng = toxicity.REACH, random.Random(7)
+
+    def behind(symbols, opener, far, rewrite):
+        return [rewrite.get(s, s) if opener in symbols[max(0, i - far) : i] else s for i, s in enumerate(symbols)]
+
+    aim = {"I": "J", "P": "J", "T": "U", "H": "K"}
+    for _ in range(2000):
+        symbols = rng.choices(toxicity.INPUT, [6, 3, 3, 2, 1, 1, 1, 1], k=rng.randint(1, 14))
+        weights = [rng.random() for _ in symbols]
+        x = behind(symbols, "C", reach["copula"], {"I": "P"})
+        x = behind(x, "M", reach["intention"], {"T": "H"})
+        x = behind(x, "N", reach["negation"], {"I": "i", "P": "i", "T": "t", "H": "t"})
+        x = behind(x, "R", 99, {"I": "q", "P": "q", "T": "t", "H": "q"})
+        x = behind(behind(x, "Y", reach["target"], aim)[::-1], "Y", reach["target"], aim)[::-1]
+        want = sum(toxicity.FACTORS.get(s, 0.0) * w for s, w in zip(x, weights))
+        assert toxicity.clause_score(symbols, weights) == pytest.approx(want)
+
+
+def test_phrases_predicates_and_threats():
+    lexicon = toxicity.Lexicon({}, {})
+    score = lambda text: toxicity.features(text, lexicon)[0]
+    assert score("you are an idiot") > score("an idiot") > score("you are not an idiot") > 0
+    assert score("they will kill you") > score("they kill you") > score("to kill") > score("he said they will not kill") > 0
+    assert score("oh Shut up, now") > 0 and score("shut the door") == score("drop the ball") == 0 and score("they will make you pay") > 0
+    threats = toxicity.threats_among(["zorp", "blib"], [("we will zorp them", 1), ("you are blib", 1), ("i will blib", 0)])
+    assert threats == {"zorp"} and toxicity.Lexicon({"zorp": 3.0}, {}, threats).look("zorp") == ("T", 3.0)
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    docs = spark.createDataFrame([(1, "you idiot")] * 50 + [(2, "fine words here")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)] * 40, "doc_id long, toxic int")
+    lexicon, curve = toxicity.fit_toxicity(docs, labels)
+    once = toxicity.fit_toxicity(docs.distinct(), labels.distinct())
+    assert curve == pytest.approx(once[1]) and lexicon.words == once[0].words
+    scores = [r["score"] for r in toxicity.score_toxicity(docs, (lexicon, (0.0, 0.0, 0.0, 0.0, 0.0))).collect()]
+    assert len(scores) == 100 and set(scores) == {0.5}  # a tie counts as toxic
