@@ -42,7 +42,8 @@ def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents"), fit_candidates(spark))
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, fit_candidates(spark, docs))
 
 
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

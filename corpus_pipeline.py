@@ -43,7 +43,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data replaced by its kind; n_chars is that of the new text."""
-    out = redact_pii(docs, fit_candidates(spark))
+    out = redact_pii(docs, fit_candidates(spark, docs))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 

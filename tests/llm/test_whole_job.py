@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from axisflow.llm import html_templates, mixing, packing, secrets, toxicity
+from axisflow.llm import html_templates, mixing, packing, pii, secrets, toxicity
 
 
 def plain_scores(docs, seed, k1=1.2, b=0.75):
@@ -265,3 +265,31 @@ def test_repeated_ids_do_not_multiply(spark):
     assert curve == pytest.approx(once[1]) and lexicon.words == once[0].words
     scores = [r["score"] for r in toxicity.score_toxicity(docs, (lexicon, (0.0, 0.0, 0.0, 0.0, 0.0))).collect()]
     assert len(scores) == 100 and set(scores) == {0.5}  # a tie counts as toxic
+
+
+def test_planted_personal_data_is_found(spark):
+    """Formats without a base, within prose, by trees of other synthetic candidates and of the corpus: precision and recall of each kind."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("aeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows = []
+    for i, (before, found, after, kind) in enumerate(pii.synthetic(99, 600)):
+        head = f"{prose(12)} {before}"
+        rows.append((i, f"{head}{found}{after} {prose(12)}", len(head), len(head) + len(found), kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, kind string")
+    corpus = spark.createDataFrame([(i, f"{prose(9)} +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} {prose(5)} 10.{i}.3.{i} {prose(3)}") for i in range(200)], "doc_id long, text string")
+    model = pii.fit_candidates(spark, corpus)
+    assert set(model[1]) == set(pii.MORE)
+    found = pii.with_spans(df, model).selectExpr("a", "b", "kind", "filter(_spans, s -> s.start < b and s.end > a).kind as kinds").collect()
+    for kind in pii.MORE:
+        hits = [kind in r["kinds"] for r in found if r["kind"] == kind]
+        wrong = sum(kind in r["kinds"] for r in found if r["kind"] != kind)
+        assert sum(hits) >= 0.95 * len(hits) and wrong <= 0.05 * sum(hits), kind
+    shown = pii.shown_candidates(corpus, 50, "text")
+    assert {y for *_, y in shown} == {True, False} and len(shown) <= 400
+
+
+def test_trees_see_every_cut_point():
+    x = np.arange(500.0).reshape(-1, 1)
+    y = (x[:, 0] > 400).astype(float)
+    tree = pii.grow_tree(x, y - 0.5, np.full(500, 0.25), 1)
+    assert tree[:2] == (0, 400.5) and tree[2] < 0 < tree[3]
