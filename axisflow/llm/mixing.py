@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The words of a source are one stream, packed into blocks of fixed length. Every source gets a quota of
-block slots; multinomial draws deal each quota over the output shards; the slots of a source, numbered
-through, map by pseudorandom permutations of its block indexes, one a pass, to blocks, so that no block
-comes up again before all others did. Slots and blocks meet in a join by index.
+block slots. Output shards have a fixed number of slots; a multinomial draw by the quotas says how many of
+them each source has in a shard, and what draws miss of a quota goes into last shards. The slots of a
+source, numbered through, map by pseudorandom permutations of its block indexes, one a pass, to blocks, so
+that no block comes up again before all others did. Slots and blocks meet in a join by index.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisflow.llm.shared import written
+from axisflow.llm.shared import lean, written
 
 WEIGHTS = (1, 2, 3)
 
@@ -179,31 +180,46 @@ def mix_texts(docs: DataFrame, id_col: str, text_col: str = "text", source_col:
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
     plain = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return plain.dropDuplicates([id_col]).join(taken, id_col).select(*docs.columns, "_axisflow_pieces").mapInArrow(cut, plain.schema)
+    return plain.dropDuplicates([id_col]).join(taken, id_col).select(*docs.columns, "_axisflow_pieces").mapInArrow(lean(cut), plain.schema)
 
 
-def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, seed: int) -> DataFrame:
-    """shard, slot (its number among the source's), source_rank and block of each slot."""
+def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, seed: int, max_sources: int = 1_000_000) -> DataFrame:
+    """shard, slot (its number among the source's), source_rank and block of each slot. Two numbers a source come to the driver, for at most `max_sources`."""
+    spark = sources.sparkSession
     blocks = F.ceil(F.col("source_size") / block_words)
     passes = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))
     part = F.col("target") - passes * F.col("source_size")
     quota = F.least(passes * blocks + F.round(part * blocks / F.col("source_size")), blocks * cap).cast("long")
     due = sources.filter("source_size > 0").select("rank", blocks.cast("long").alias("blocks"), quota.alias("quota"))
     due = written(due, "quotas")
-    total = due.agg(F.sum("quota")).first()[0] or 0
-    shards = max(1, -(-total // shard_slots))
+    n = due.count()
+    if n > max_sources:
+        raise ValueError(f"{n} sources are more than {max_sources}")
+    table = due.select("rank", "quota").orderBy("rank").toArrow()
+    ranks, quotas = (table.column(i).to_numpy() for i in range(2))
+    total = int(quotas.sum())
+    shards, chances = -(-total // shard_slots), spark.sparkContext.broadcast((ranks, np.cumsum(quotas) / max(total, 1)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, upto = chances.value
         for batch in batches:
-            for rank, blocks, quota in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = np.random.default_rng([seed, rank]).multinomial(quota, np.full(shards, 1 / shards))
-                firsts = np.cumsum(counts) - counts
-                for at in range(0, shards, 1 << 16):
-                    some = counts[at : at + (1 << 16)]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(k, rank), np.full(k, blocks), np.arange(at, at + k), firsts[at : at + k], some)], names=["rank", "blocks", "shard", "first", "n"])
-
-    drawn = due.mapInArrow(draw, "rank long, blocks long, shard long, first long, n long")
+            for shard in batch.column(0).to_pylist():
+                size = min(shard_slots, total - shard * shard_slots)
+                at, counts = np.unique(np.searchsorted(upto, np.random.default_rng([seed, shard]).random(size), side="right"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(np.full(len(at), shard)), pa.array(counts.astype(np.int64))], names=["rank", "shard", "n"])
+
+    drawn = written(spark.range(0, shards, 1, max(1, shards // 64)).mapInArrow(lean(draw), "rank long, shard long, n long"), "draws")
+    got = {r["rank"]: r["n"] for r in drawn.groupBy("rank").agg(F.sum("n").alias("n")).collect()}  # a row a source
+    missed, held = [], 0
+    for rank, quota in zip(ranks.tolist(), quotas.tolist()):
+        lack = quota - got.get(rank, 0)
+        while lack > 0:
+            n = min(lack, shard_slots - held % shard_slots)
+            missed.append((rank, shards + held // shard_slots, n))
+            held, lack = held + n, lack - n
+    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    every = drawn.unionByName(spark.createDataFrame(missed, drawn.schema)).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    drawn = every.join(due, "rank").withColumn("n", F.least("n", F.col("quota") - F.col("first"))).filter("n > 0").select("rank", "blocks", "shard", "first", "n")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,4 +232,4 @@ def slots_of(sources: DataFrame, block_words: int, shard_slots: int, cap: int, s
                         block[here] = permuted(slot[here] % blocks, blocks, xxhash.xxh3_64_intdigest(f"{seed}:{rank}:{turn}"))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(np.full(len(slot), rank)), pa.array(block)], names=["shard", "slot", "source_rank", "block"])
 
-    return drawn.filter("n > 0").repartition(1 + total // (16 * shard_slots), "rank", "shard").mapInArrow(place, "shard long, slot long, source_rank long, block long")
+    return drawn.repartition(1 + total // (16 * shard_slots), "rank", "shard").mapInArrow(lean(place), "shard long, slot long, source_rank long, block long")
