@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from axisflow.llm.shared import lean
+
 KINDS = ("assign", "access", "hex", "entropy")
 
 # The base formats.
@@ -75,9 +77,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def is_mixed(s: str) -> bool:
+    """Letters and digits, or letters alone of which, as in random keys and unlike in names, cases are about even and alternate often.
+
+    Digits alone are numbers, whatever their entropy, and never taken for a key.
+    """
+    if any(c.isdigit() for c in s):
+        return any(c.isalpha() for c in s)
+    letters = [c.isupper() for c in s if c.isalpha()]
+    changes = sum(a != b for a, b in zip(letters, letters[1:]))
+    return len(letters) >= 20 and 0.3 <= sum(letters) / len(letters) <= 0.7 and changes >= 0.3 * len(letters)
+
+
 def is_random(s: str, least: float, width: int) -> bool:
-    mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-    return mixed and not any(a.fullmatch(s) for a in ALLOWED) and max_window_entropy(s, width) >= least
+    return is_mixed(s) and not any(a.fullmatch(s) for a in ALLOWED) and max_window_entropy(s, width) >= least
 
 
 def entropy_spans(text: str, width: int = 20) -> list[tuple[str, int, int]]:
@@ -146,7 +159,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*rows)) or [()] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(cols))], names=schema.names)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, schema)
+    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(lean(scan), schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
