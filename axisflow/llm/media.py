@@ -11,7 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -122,6 +122,19 @@ class Finder:
     def __init__(self, data: bytes):
         self.data, self.known = data, {}
 
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Lengths of archives by their beginnings: each end record tells where its archive begins."""
+        out, d = {}, self.data
+        end = d.find(b"PK\x05\x06")
+        while end >= 0 and end + 22 <= len(d):
+            size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
+            start = end - size - offset
+            if start >= 0 and end + 22 + comment <= len(d):
+                out.setdefault(start, end + 22 + comment - start)
+            end = d.find(b"PK\x05\x06", end + 4)
+        return out
+
     def __call__(self, what: bytes, at: int) -> int:
         since, found = self.known.get(what, (0, -2))
         if found == -2 or since > at or -1 < found < at:
@@ -131,19 +144,21 @@ class Finder:
 
 
 def _pdf(d: bytes, at: int, find: Finder | None = None) -> int:
+    """Up to the last end mark: updates follow the first, each with a cross-reference and a link to the one before."""
     find = find or Finder(d)
     end, start = find(b"%%EOF", at), find(b"startxref", at)
-    return end + 5 - at if -1 < start < end else 0
+    if not -1 < start < end:
+        return 0
+    other = find(b"%PDF-", at + 5)
+    while True:
+        following = d.find(b"%%EOF", end + 5, other if other > end else len(d))
+        if following < 0 or d.find(b"startxref", end, following) < 0 or d.find(b"/Prev", end, following) < 0:
+            return end + 5 - at
+        end = following
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(d):
-            return end + 22 + comment - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+def _zip(d: bytes, at: int, find: Finder | None = None) -> int:
+    return (find or Finder(d)).zips.get(at, 0)
 
 
 def _ogg(d: bytes, at: int) -> int:
@@ -195,7 +210,7 @@ def sniff(data: bytes) -> tuple[str | None, int, list[tuple[str, int, int]]]:
         at = end - back
         if at < free or at < 0:
             continue
-        if n := _pdf(data, at, find) if kind == "application/pdf" else VALIDATORS[kind](data, at):
+        if n := VALIDATORS[kind](data, at, find) if kind in ("application/pdf", "application/zip") else VALIDATORS[kind](data, at):
             kind = RIFF_FORMS[data[at + 8 : at + 12]] if kind == "riff" else kind
             if at == 0:
                 outer, length = kind, n
