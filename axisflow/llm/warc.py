@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisflow.llm.shared import salted_left_join
+from axisflow.llm.shared import lean, written
 
 # Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -122,13 +122,14 @@ def typed(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Adds digest, record type and the page that a revisit refers to.
 
     Of equal payloads the largest page_id is the response. Digests are counted before anything
-    moves; only those seen twice are joined back, salted, since one may hold a third of all rows.
+    moves; only those seen twice are joined back. Their table has a known size: Spark broadcasts a small one,
+    and splits a digest that holds a third of all rows where it is not.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("sha1", F.unhex(F.sha1("payload")))
     last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    joined = salted_left_join(rows, last, ["sha1"], F.col("page_id"))
+    joined = rows.join(written(last, "copies"), "sha1", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")) & (F.length("payload") >= min_revisit_bytes)
     return joined.withColumn("refers_to", F.when(revisit, F.col("last"))).drop("last")
 
@@ -163,12 +164,12 @@ def write_warc(pages: DataFrame, uri: str, segment_bytes: int = 24 << 20, dict_b
             yield flush(records, raw)
 
     rows = typed(pages, min_revisit_bytes).select("page_id", "url", "payload", "sha1", "refers_to")
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{uri}/manifest")
+    rows.mapInArrow(lean(write), MANIFEST).write.parquet(f"{uri}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{uri}/manifest")
 
 
-def read_warc(spark: SparkSession, uri: str, payload: bool = True) -> DataFrame:
-    """The records of all archives that the manifest below `uri` names; `payload=False` leaves the bodies out."""
+def read_warc(spark: SparkSession, uri: str, payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
+    """The records of all archives that the manifest below `uri` names, about `task_bytes` of them a task; `payload=False` leaves the bodies out."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{uri}/manifest")
     names = [c.split()[0] for c in RECORDS.split(", ") if payload or not c.startswith("payload ")]
     schema = pa.schema([(k, {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}.get(k, pa.string())) for k in names])
@@ -180,5 +181,6 @@ def read_warc(spark: SparkSession, uri: str, payload: bool = True) -> DataFrame:
                 for at in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 2000], schema=schema)
 
-    files = manifest.select("file")
-    return files.repartition(max(1, files.count())).mapInArrow(read, ", ".join(c for c in RECORDS.split(", ") if c.split()[0] in names))
+    files, stored = manifest.agg(F.count(F.lit(1)), F.sum("stored_bytes")).first()
+    tasks = max(1, min(files, max(-(-(stored or 0) // task_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return manifest.select("file").repartition(tasks).mapInArrow(lean(read), ", ".join(c for c in RECORDS.split(", ") if c.split()[0] in names))
