@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from axisflow.llm import html_templates, mixing, packing, pii, secrets, toxicity
+from axisflow.llm import html_templates, media, mixing, packing, pii, secrets, toxicity, warc
 
 
 def plain_scores(docs, seed, k1=1.2, b=0.75):
@@ -293,3 +293,54 @@ def test_trees_see_every_cut_point():
     y = (x[:, 0] > 400).astype(float)
     tree = pii.grow_tree(x, y - 0.5, np.full(500, 0.25), 1)
     assert tree[:2] == (0, 400.5) and tree[2] < 0 < tree[3]
+
+
+def test_recall_of_random_keys():
+    """Keys of every class, 20 to 40 characters, within prose; and names and numbers that are none."""
+    rng = random.Random(9)
+    for alphabet, least in (("0123456789abcdef", 0.95), ("0123456789ABCDEF", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.8)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(24, 40))) for _ in range(400)]
+        assert sum(bool(secrets.entropy_spans(f"set {k} now")) for k in keys) >= least * 400, alphabet
+    for text in ("getUserNameFromIdentifierOrDefault", "HTTPRequestHandlerFactoryBean", "internationalizationalistically", "31415926535897932384626433", "SELECT_FROM_CUSTOMER_TABLE_NAMES"):
+        assert secrets.entropy_spans(text) == []
+
+
+def test_many_zip_marks_take_linear_time():
+    import time
+    import zipfile
+    from io import BytesIO
+
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "x" * 100)
+    one = out.getvalue()
+    kind, n, inside = media.sniff(b"PK\x03\x04" * 50_000 + b"PK\x05\x06" * 50_000 + one)
+    assert inside == [("application/zip", 400_000, len(one))]
+    began = time.process_time()
+    media.sniff((b"PK\x03\x04" + b"PK\x05\x06") * 200_000)
+    assert time.process_time() - began < 5
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF"
+    assert media.sniff(pdf + b" new /Prev 9 startxref 40 %%EOF tail")[:2] == ("application/pdf", len(pdf) + 31) and media.sniff(pdf + b" tail %%EOF")[1] == len(pdf)
+
+
+def test_shards_have_fixed_sizes_and_quotas_hold(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), rng.choice("aaaab")) for i in range(600)] + [(1000, "w " * 500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, slots = mixing.mix_sources(docs, block_words=4, shard_slots=64)
+    sizes = Counter(r["shard"] for r in slots.collect())
+    regular = -(-slots.count() // 64)
+    assert all(n <= 64 for n in sizes.values()) and sum(sizes.values()) == slots.count() and sum(n >= 40 for n in sizes.values()) >= 0.9 * regular
+    counts = slots.groupBy("shard", "source_rank").count().collect()
+    assert len({r["count"] for r in counts if r["source_rank"] == 0}) > 1  # drawn, not dealt evenly
+    for r in taken.groupBy("source", "target").agg({"taken": "sum"}).collect():
+        assert abs(r["sum(taken)"] - r["target"]) <= 4 * 3
+
+
+def test_archive_of_clashing_columns_and_a_long_page(spark, tmp_path):
+    long = "x" * 3_000_000
+    rows = [(1, "http://a.example", long, "p", "q"), (2, "http://b.example", long, "p", "q"), (3, None, None, "p", "q"), (None, "u", "z", "p", "q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, sha1 string")
+    warc.write_warc(pages, f"file://{tmp_path}/w", segment_bytes=1 << 20)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    assert got[1]["refers_to"] == 2 and got[1]["record_type"] == "revisit" and got[2]["payload"] == long.encode() and got[3]["payload_bytes"] == 0 and got[None]["payload"] == b"z"
