@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from axisflow.llm.shared import lean
+from axisflow.llm.shared import give_back, lean
 
 # The words that the grammar knows without labels.
 INSULTS = "asshole bastard bitch clown cretin cunt degenerate dickhead disgusting dumb dumbass fool freak idiot imbecile jerk loser moron parasite pathetic pig retard scum scumbag slut stupid subhuman trash vermin whore worthless".split()
@@ -296,7 +296,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # the labelled rows with a text, a sample of each label: its rows stand for as many as the label has to each that was picked
     picks, here = Counter(y for _, y in picked), Counter(y for _, y in rows)
     rates = tuple(here[y] * counts[y] / picks[y] if picks[y] else 0.0 for y in (0, 1))
-    return lexicon, fitted([features(t, lexicon) for t, _ in rows], [y for _, y in rows], rates=rates)
+    curve = fitted([features(t, lexicon) for t, _ in rows], [y for _, y in rows], rates=rates)
+    lexicon.known.clear()
+    del rows, table
+    give_back()
+    return lexicon, curve
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Lexicon, tuple[float, ...]], text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:

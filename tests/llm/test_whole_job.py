@@ -284,8 +284,8 @@ def test_planted_personal_data_is_found(spark):
         hits = [kind in r["kinds"] for r in found if r["kind"] == kind]
         wrong = sum(kind in r["kinds"] for r in found if r["kind"] != kind)
         assert sum(hits) >= 0.95 * len(hits) and wrong <= 0.05 * sum(hits), kind
-    shown = pii.shown_candidates(corpus, 50, "text")
-    assert {y for *_, y in shown} == {True, False} and len(shown) <= 400
+    fit, x, y = pii.shown_candidates(corpus, 50, "text")
+    assert set(y) == {0.0, 1.0} and set(fit) == {True, False} and x.shape == (len(y), len(pii.FEATURES)) and len(y) <= 400
 
 
 def test_trees_see_every_cut_point():
