@@ -50,12 +50,12 @@ class Model:
     # --- making and keeping -----------------------------------------------------------------
 
     @staticmethod
-    def fit(benign: DataFrame, malicious: DataFrame, config: Config, id_col: str = "vec_id", vector_col: str = "embedding", family: str = "family") -> Model:
-        """From embeddings; rows that are no usable vectors are an error."""
+    def fit(benign: DataFrame, malicious: DataFrame, config: Config, id_col: str = "vec_id", vector_col: str = "embedding", family: str = "family", axes: DataFrame | None = None) -> Model:
+        """From embeddings; rows that are no usable vectors are an error. Axes are random by the seed unless they are given."""
         spark = benign.sparkSession
         require_usable(benign, vector_col, config.dim)
         require_usable(malicious, vector_col, config.dim)
-        axes = sketch.random_axes(spark, config.cones, config.dim, config.seed)
+        axes = sketch.random_axes(spark, config.cones, config.dim, config.seed) if axes is None else axes
         make = lambda df: sketch.exploded(sketch.sketch(df, axes, config.r, config.temperature, id_col, vector_col), id_col)
         cones = axes.select("cone")
         bad = make(malicious).join(malicious.select(id_col, F.col(family).alias("family")), id_col)

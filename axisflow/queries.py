@@ -140,23 +140,40 @@ def usable_vectors(spark, d):
     return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"), F.count_if(V.usable(F.col("embedding"), 64)).alias("usable"))
 
 
-@query()
+NEAREST_SQL = f"WITH {SKETCH_SQL} SELECT vec_id, cone, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 8"
+
+
+@query(NEAREST_SQL)
 def lsh_nearest(spark, d):
+    """Probes of all bits reach every bucket, so the search by hashes must give what an exact one gives."""
     e, axes = model_tables(spark, d)
-    return sketch.nearest_with_lsh(e, axes, 8, tables=4, bits=6).select("vec_id", "cone", "rank")
+    return sketch.nearest_with_lsh(e, axes, 8, tables=1, bits=5, radius=5).select("vec_id", "cone", "rank")
 
 
-@query()
+@query(NEAREST_SQL)
+def nearest_in_blocks(spark, d):
+    e, axes = model_tables(spark, d)
+    return sketch.nearest_exact(e, axes, 8, bound=8 * 64 * 10).select("vec_id", "cone", "rank")
+
+
+RANK_SQL = "greatest(1, least(CAST(ceil(CAST({a} AS DOUBLE) * (count(*) OVER ({w}) + 1.0)) AS BIGINT), count(*) OVER ({w})))"
+
+
+@query(
+    f"WITH {SCORE_SQL}, c AS (SELECT s.vec_id, round(s.score, 9) AS score, 'g' || (e.label % 2) AS g, e.label FROM scores s JOIN embeddings e USING (vec_id)), "
+    f"b AS (SELECT g, score, row_number() OVER (PARTITION BY g ORDER BY score) AS r, {RANK_SQL.format(a='0.95', w='PARTITION BY g')} AS k FROM c WHERE label < 5), t AS (SELECT g, score AS threshold FROM b WHERE r = k) "
+    "SELECT vec_id, g AS calibration_group, round(threshold, 6) + 0.0 AS threshold, round(score, 6) + 0.0 AS score, CAST(score > threshold AS INTEGER) AS prediction FROM c JOIN t USING (g)"
+)
 def fitted_model(spark, d):
-    e = table(spark, d, "embeddings")
-    model = Model.fit(e.filter("label < 5"), e.filter("label >= 5").withColumn("family", F.concat(F.lit("f"), "label")), Config(dim=64, cones=64, r=8, alpha=0.05))
-    scored = model.score(e).join(e.select("vec_id", F.concat(F.lit("g"), F.col("label") % 2).alias("calibration_group")), "vec_id")
-    return model.calibrate(scored.join(e.filter("label < 5").select("vec_id"), "vec_id"), "calibration_group").predict(scored).select("vec_id", "calibration_group", "threshold", "score", "prediction")
+    e, axes = model_tables(spark, d)
+    model = Model.fit(e.filter("label < 5"), e.filter("label >= 5").withColumn("family", F.concat(F.lit("f"), "label")), Config(dim=64, cones=N_AXES, r=8, alpha=0.05), axes=axes)
+    scored = model.score(e).withColumn("score", F.round("score", 9)).join(e.select("vec_id", F.concat(F.lit("g"), F.col("label") % 2).alias("calibration_group")), "vec_id")
+    found = model.calibrate(scored.join(e.filter("label < 5").select("vec_id"), "vec_id"), "calibration_group").predict(scored)
+    return rounded(found.select("vec_id", "calibration_group", "threshold", "score", "prediction"), "threshold", "score")
 
 
 # --- calibration and decisions ------------------------------------------------------------------
 
-RANK_SQL = "greatest(1, least(CAST(ceil(CAST({a} AS DOUBLE) * (count(*) OVER ({w}) + 1.0)) AS BIGINT), count(*) OVER ({w})))"
 BY_FLAG = RANK_SQL.format(a="0.99", w="PARTITION BY l_returnflag")
 
 
@@ -482,10 +499,22 @@ def release_breakdown(spark, d):
     return metrics.breakdown(scored_rows(spark, d), ("split", "source_family", "label"))
 
 
-@query("SELECT CASE json_extract_string(props, '$.k') WHEN 'never' THEN 0 ELSE 0 END AS zero, count(*) AS rows FROM events GROUP BY 1")
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS label, CASE c_custkey % 4 WHEN 0 THEN c_acctbal WHEN 1 THEN c_acctbal WHEN 2 THEN CAST(c_nationkey AS DOUBLE) END AS score, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'g' || c_nationkey END AS calibration_group, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM customer"
+)
 def json_metric_rows(spark, d):
-    lines = table(spark, d, "events").select(F.coalesce("props", F.lit("{}")).alias("value"))
-    return metrics.from_json(lines).agg(F.lit(0).alias("zero"), F.count(F.lit(1)).alias("rows")).select("zero", "rows")
+    """Scores as numbers and as texts, below a boolean that is none, or missing; flags as text, boolean and number."""
+    c = table(spark, d, "customer")
+    value = F.col("c_acctbal").cast("string")
+    kind, third = F.col("c_custkey") % 4, F.col("c_custkey") % 3
+    inner = [
+        F.when(kind == 0, F.concat(F.lit('"ccd_score_public":'), value)), F.when(kind == 2, F.concat(F.lit('"ccd_score_public":true,"ccd_score":'), F.col("c_nationkey").cast("string"))),
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"public_calibration_group":" g'), F.col("c_nationkey").cast("string"), F.lit(' "'))),
+        F.when(third == 0, F.lit('"ccd_flag":" Yes "')).when(third == 1, F.lit('"ccd_flag":false')).otherwise(F.lit('"ccd_flag":1')),
+    ]
+    outer = F.concat(F.lit('{"label":"'), F.col("c_custkey").cast("string"), F.lit('"'), F.when(kind == 1, F.concat(F.lit(',"score":"'), value, F.lit('"'))).otherwise(""), F.lit(',"ccd_outputs":{'), F.concat_ws(",", *inner), F.lit("}}"))
+    return metrics.from_json(c.select(outer.alias("value"))).select("label", "score", "calibration_group", "flag")
 
 
 # --- edits, sets, order, text -------------------------------------------------------------------
@@ -531,7 +560,7 @@ def random_edit_samples(spark, d):
 @query()
 def enumeration_certificates(spark, d):
     length = lambda df: df.select("host", F.char_length("host").cast("double").alias("score"))
-    return certify.certify_by_enumeration(hosts(spark, d), length, 19.5, 1, edits=["E3_delimiter", "E9_label_transpose", "E4_label_split"])
+    return certify.certify_by_enumeration(hosts(spark, d), length, 19.5, 1)
 
 
 @query()
@@ -602,9 +631,18 @@ def integrity_hashes(spark, d):
     return n.select("n_nationkey", R.integrity_hash(["n_regionkey", "n_nationkey", "n_name"]).alias("hash"))
 
 
-@query("SELECT c_custkey, rtrim(replace(replace(to_base64(encode(c_name)), '+', '-'), '/', '_'), '=') AS base64, lower(hex(encode(c_name))) AS hex FROM customer")
+CHARS_SQL = "[x for x in string_split(c_address, '') if x <> '']"
+BASE32_SQL = "substr(array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || rpad(substr({h}, 5 * (i // 4) + 1, 5), 5, '0'))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1) for i in range(0, {n})], ''), 1, {n})"
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, c_name || ' 100% \\x' || c_nationkey AS c_address FROM customer) SELECT c_custkey, rtrim(replace(replace(to_base64(encode(c_address)), '+', '-'), '/', '_'), '=') AS base64, lower(hex(encode(c_address))) AS hex, "
+    f"array_to_string([CASE WHEN regexp_full_match(x, '[0-9A-Za-z._~-]') THEN x ELSE '%' || upper(hex(encode(x))) END for x in {CHARS_SQL}], '') AS url, "
+    f"{BASE32_SQL.format(h='hex(encode(c_address))', n='CAST(ceil(8 * length(c_address) / 5.0) AS BIGINT)')} AS base32, replace(replace(c_address, '\\', '\\\\'), '%', '%25') AS nested FROM c"
+)
 def encoding_layers(spark, d):
-    return table(spark, d, "customer").select("c_custkey", H.base64url_layer(F.col("c_name")).alias("base64"), F.lower(F.hex(F.encode("c_name", "UTF-8"))).alias("hex"))
+    text = F.concat("c_name", F.lit(" 100% \\x"), F.col("c_nationkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", H.base64url_layer(text).alias("base64"), F.lower(F.hex(F.encode(text, "UTF-8"))).alias("hex"), H.url_encoded_layer(text).alias("url"), H.base32_layer(text).alias("base32"), H.nested_escape_layer(text).alias("nested"))
 
 
 @query(
