@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -51,3 +53,39 @@ def test_every_operator_has_its_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert not set(queries.oracle_sql()) - set(names)
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_queries_keep_their_contracts(spark):
+    """Every query with its production parameters over whole tables."""
+    d = str(DATA)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = {int(name[2:].split("_")[0]): query(spark, d).collect() for name, query in queries.queries().items()}
+    for n in (2, 3, 4, 5, 6, 7, 8):
+        assert sorted(r["doc_id"] for r in got[n]) == sorted(docs)
+    for n in (1, 10):
+        assert sorted(r["page_id"] for r in got[n]) == sorted(pages)
+    assert all(r["n_chars"] == len(r["text"]) for r in got[1])
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got[2]) and {r["held_out"] for r in got[2]} == {True, False}
+    assert all(r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] + 1e-6 for r in got[3])
+    assert sum(r["size"] for r in got[3]) == pytest.approx(sum({r["source_size"]: r["target"] for r in got[3]}.values()), rel=1e-6)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(r["spans"] or r["base_sha256"] == empty for n in (4, 6) for r in got[n])
+    assert all(not (r["base_failed"] and r["kept"]) and r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) for r in got[5])
+    for r in got[7]:
+        data = docs[r["doc_id"]].encode()
+        data += bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert r["payload_bytes"] == len(data) and r["payload_sha256"] == hashlib.sha256(data).hexdigest()
+    assert all(r["component_id"] <= r["doc_id"] for r in got[8])
+    held, total = Counter(), Counter()
+    for r in got[9]:
+        held[r["doc_id"]] += r["length"]
+        total[r["sequence_id"]] += r["length"]
+    assert held == {r["doc_id"]: r["doc_tokens"] for r in got[9]} and held.keys() == docs.keys() and all(n == 2048 or n & (n - 1) == 0 for n in total.values())
+    full = sum(n == 2048 for n in total.values())
+    assert full >= 0.7 * len(total)
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) and r["payload_bytes"] == len(pages[r["page_id"]].encode()) for r in got[10])
