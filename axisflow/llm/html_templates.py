@@ -321,7 +321,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 10, min_share: float =
     if not method:
         return rows.select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("template")).mapInArrow(lean(extract), schema)
     seen = rows.select("host", "section", "html").mapInArrow(lean(subtrees), "host string, section string, digests array<long>").select("host", "section", F.explode("digests").alias("digest"))
-    counted = seen.groupBy("host", "section", "digest").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(seen.groupBy("host", "section", "digest").agg(F.count(F.lit(1)).alias("n")), "subtrees")  # read twice
     parts = written(rows.groupBy("host", "section").agg(F.count(F.lit(1)).alias("pages")), "sections")
     sizes = parts.groupBy("host").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= min_pages)
     # one narrow row a host: its template, the few subtrees that a good share of its pages repeat, and what its sections add
