@@ -159,15 +159,15 @@ def as_column(rules: list[Rule]) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 3000) -> list[Rule]:
     """Learns the rules from at most `sample` labelled rows, those of the smallest id hashes (0: bad, 1: good).
 
-    Null ids and labels are left out; without rows of both labels there are no rules.
+    Null ids and labels are left out; an id that comes several times counts once; without rows of both labels there are no rules.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").distinct()
     picked = [(r["_id"], r["_y"]) for r in known.orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()]
     if len({y for _, y in picked}) < 2:
         return []
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, known.schema))  # at most `sample` numbers
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    joined = texts.join(chosen, texts["_doc"] == chosen["_id"]).select("text", "_id", "_y")
+    joined = texts.join(chosen, texts["_doc"] == chosen["_id"]).groupBy("_id", "_y").agg(F.min("text").alias("text"))  # one row for an id, however often it comes
     rows = with_statistics(joined).select("_id", "_y", base_failed().alias("_failed"), *FEATURES).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_y"], tuple(r[f] for f in FEATURES)))
     return decision_list([({f: float(r[f]) for f in FEATURES}, r["_y"] == 0) for r in rows if not r["_failed"]])
