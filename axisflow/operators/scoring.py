@@ -50,12 +50,16 @@ def cross_entropies(sketches: DataFrame, prior: DataFrame, id_col: str = "vec_id
 
 
 def scores(sketches: DataFrame, benign: DataFrame, malicious: DataFrame, mixture: DataFrame, effective_count: float = 1.0, id_col: str = "vec_id") -> DataFrame:
-    """id, score: log-sum-exp over families of log weight + effective_count * (H_benign - H_family)."""
-    hb = cross_entropies(sketches, benign, id_col).withColumnRenamed("h", "hb")
-    hf = cross_entropies(sketches, malicious, id_col, "family").withColumnRenamed("h", "hf")
-    term = hf.join(hb, id_col).join(mixture, "family").withColumn("x", F.col("log_weight") + effective_count * (F.col("hb") - F.col("hf")))
-    top = F.max("x").over(Window.partitionBy(id_col))
-    return term.withColumn("top", top).groupBy(id_col).agg((F.max("top") + F.ln(F.sum(F.exp(F.col("x") - F.col("top"))))).alias("score"))
+    """id, score: log-sum-exp over families of log weight + effective_count * (H_benign - H_family).
+
+    The difference of the cross entropies is one weighted sum of log ratios, so priors meet once, at their
+    own size, and sketches are joined and summed once.
+    """
+    ratios = malicious.join(benign.select("cone", F.col("log_p").alias("_benign")), "cone").select("cone", "family", (F.col("log_p") - F.col("_benign")).alias("_ratio"))
+    sums = sketches.join(ratios, "cone").groupBy(id_col, "family").agg(F.sum(F.col("weight") * F.col("_ratio")).alias("_sum"))
+    terms = sums.join(mixture, "family").groupBy(id_col).agg(F.collect_list(F.col("log_weight") + effective_count * F.col("_sum")).alias("_x"))
+    top = F.array_max("_x")
+    return terms.select(id_col, (top + F.ln(F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.exp(x - top)))).alias("score"))
 
 
 def cone_scores(benign: DataFrame, malicious: DataFrame, mixture: DataFrame, effective_count: float = 1.0) -> DataFrame:
