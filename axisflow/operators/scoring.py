@@ -6,12 +6,15 @@ has the family null.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisflow.functions.vectors import stable_log
+from axisflow.operators.sketch import AXES_BOUND, matrix_of, size_of
 
 
 def priors(sketches: DataFrame, cones: DataFrame, by: str | None = None, smoothing: float = 1e-6) -> DataFrame:
@@ -62,6 +65,47 @@ def scores(sketches: DataFrame, benign: DataFrame, malicious: DataFrame, mixture
     return terms.select(id_col, (top + F.ln(F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.exp(x - top)))).alias("score"))
 
 
+RATIOS_BOUND = 256 << 20
+
+
+def batch_scores(vectors: DataFrame, axes: DataFrame, benign: DataFrame, malicious: DataFrame, mixture: DataFrame, r: int = 8, temperature: float = 10.0, effective_count: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, score straight from vectors: sketch and mixture in one Arrow pass over each batch, nothing is shuffled.
+
+    Axes and the log ratios of all cones and families are broadcast; `fits_in_batches` says whether their checked sizes allow it.
+    """
+    if not fits_in_batches(axes, malicious):
+        raise ValueError("axes or priors are too large to broadcast; use sketch and scores")
+    ratios = malicious.join(benign.select("cone", F.col("log_p").alias("_benign")), "cone").join(mixture, "family")
+    found = ratios.select("family", "cone", (F.col("log_p") - F.col("_benign")).alias("ratio"), "log_weight").orderBy("family", "cone").toArrow()
+    table = axes.orderBy("cone").toArrow()
+    cones, n = table.column("cone").to_numpy(), len(table)
+    ratio, weight = (found.column(c).to_numpy().reshape(-1, n) for c in ("ratio", "log_weight"))
+    if n and len(found) and (found.column("cone").to_numpy().reshape(-1, n) != cones).any():
+        raise ValueError("priors and axes have different cones")
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array(table.column("axis").to_pylist(), np.float64), np.ascontiguousarray(ratio.T), weight[:, 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, ratio, weight = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                sims = matrix_of(part.column(1)) @ matrix.T
+                order = np.argsort(-sims, axis=1, kind="stable")[:, :r]
+                near = np.take_along_axis(sims, order, axis=1)
+                e = np.exp(temperature * (near - near[:, :1]))
+                x = weight + effective_count * np.einsum("nr,nrf->nf", e / e.sum(axis=1, keepdims=True), ratio[order])
+                top = x.max(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(top + np.log(np.exp(x - top[:, None]).sum(axis=1)))], names=[id_col, "score"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(id_col, F.col(vector_col).alias("_v")).mapInArrow(run, f"{id_col} {kind}, score double")
+
+
+def fits_in_batches(axes: DataFrame, malicious: DataFrame) -> bool:
+    n, dim = size_of(axes)
+    return 8 * n * dim <= AXES_BOUND and 16 * malicious.count() <= RATIOS_BOUND
+
+
 def cone_scores(benign: DataFrame, malicious: DataFrame, mixture: DataFrame, effective_count: float = 1.0) -> DataFrame:
     """cone, score of a sketch that lies on that cone alone: the table of the fast path."""
     term = malicious.select("family", "cone", F.col("log_p").alias("lf")).join(benign.select("cone", F.col("log_p").alias("lb")), "cone").join(mixture, "family")

@@ -114,7 +114,9 @@ class Model:
         return scoring.mixture_weights(self.malicious.select("family").distinct(), self.config.weights)
 
     def score(self, vectors: DataFrame, approximate: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """id, score; by the `approximate` nearest cones only, and for 1 by a table lookup."""
+        """id, score; by the `approximate` nearest cones only, and for 1 by a table lookup. Axes and priors of broadcast size score batches in place."""
+        if approximate != 1 and scoring.fits_in_batches(self.axes, self.malicious):
+            return scoring.batch_scores(vectors, self.axes, self.benign, self.malicious, self.mixture(), approximate or self.config.r, self.config.temperature, self.config.effective_count, id_col, vector_col)
         some = self.sketches(vectors, approximate, id_col, vector_col)
         if approximate == 1:
             return scoring.fast_scores(some, scoring.cone_scores(self.benign, self.malicious, self.mixture(), self.config.effective_count), id_col)

@@ -102,6 +102,14 @@ def likelihood_scores(spark, d):
     return rounded(scoring.scores(*all_priors(spark, d)), "score")
 
 
+@query(f"WITH {SCORE_SQL} SELECT vec_id, round(score, 6) + 0.0 AS score FROM scores")
+def batched_scores(spark, d):
+    """The same from vectors by matrix products, without moving them."""
+    e, axes = model_tables(spark, d)
+    _, benign, bad, mix = all_priors(spark, d)
+    return rounded(scoring.batch_scores(e, axes, benign, bad, mix, 8, 10.0), "score")
+
+
 @query(
     f"WITH {PRIOR_SQL}, t AS (SELECT a.cone, ln(1.0 / count(*) OVER (PARTITION BY a.cone)) + ln(a.p) - ln(b.p) AS x FROM priors a JOIN priors b ON a.cone = b.cone AND b.family IS NULL WHERE a.family IS NOT NULL), "
     "s AS (SELECT cone, ln(sum(exp(x))) AS score FROM t GROUP BY cone) SELECT k.vec_id, round(s.score, 6) + 0.0 AS score FROM sketch k JOIN s USING (cone) WHERE k.rank = 1"
@@ -209,9 +217,10 @@ def margin_certificates(spark, d):
     return certify.with_margin_certificate(o, F.lit(10000.0), 2).select("o_orderkey", "prediction", "margin", "certified")
 
 
-@query("SELECT o_orderpriority, quantile_cont(o_totalprice, 0.95) AS p95, median(o_totalprice) AS p50 FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.95), 6) + 0.0 AS p95, round(median(o_totalprice), 6) + 0.0 AS p50 FROM orders GROUP BY 1")
 def exact_percentiles(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.95).alias("p95"), F.percentile("o_totalprice", 0.5).alias("p50"))
+    found = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.95).alias("p95"), F.percentile("o_totalprice", 0.5).alias("p50"))
+    return rounded(found, "p95", "p50")
 
 
 @query("WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS r FROM v) SELECT user_id, CAST(sum(votes) AS BIGINT) AS n, max(CASE WHEN r = 1 THEN event_type END) AS prediction, max(votes) AS top, coalesce(max(CASE WHEN r = 2 THEN votes END), 0) AS second FROM r GROUP BY 1")

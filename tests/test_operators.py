@@ -54,6 +54,10 @@ def test_two_axes_in_closed_form(spark):
     want = math.log(0.25 * (0.2 / 0.9) ** 2 + 0.75 * (0.6 / 0.9) ** 2)
     assert scoring.scores(s, benign, bad, mix, 2.0).first()["score"] == pytest.approx(want)
     assert scoring.fast_scores(s, scoring.cone_scores(benign, bad, mix, 2.0)).first()["score"] == pytest.approx(want)
+    assert scoring.batch_scores(v, axes, benign, bad, mix, 1, 10.0, 2.0).first()["score"] == pytest.approx(want)
+    many = spark.createDataFrame([(i, [math.sin(i), math.cos(i * i)]) for i in range(40)], "vec_id long, embedding array<float>")
+    slow = {r["vec_id"]: r["score"] for r in scoring.scores(sketch.exploded(sketch.sketch(many, axes, r=2)), benign, bad, mix, 2.0).collect()}
+    assert {r["vec_id"]: r["score"] for r in scoring.batch_scores(many, axes, benign, bad, mix, 2, 10.0, 2.0).collect()} == pytest.approx(slow) and scoring.batch_scores(many.limit(0), axes, benign, bad, mix).count() == 0
     with pytest.raises(ValueError, match="lack"):
         scoring.mixture_weights(bad.select("family"), {"a": 1})
 
