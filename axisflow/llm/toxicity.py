@@ -196,7 +196,8 @@ def learned(rows: list[tuple[str, int]], most: int = 500) -> tuple[dict[str, flo
             continue
         seen.add(key)
         words, beginnings = word_features(text)
-        (toxic if label else clean).update([("w", w) for w in words] + [("b", w) for w in beginnings])
+        (toxic if label else clean).update([f"w{w}" for w in words])
+        (toxic if label else clean).update([f"b{w}" for w in beginnings])
         total[label] += 1
     n, p = total
     if not n or not p:
@@ -212,9 +213,10 @@ def learned(rows: list[tuple[str, int]], most: int = 500) -> tuple[dict[str, flo
         if gain >= least:
             weight = math.log((a + 0.5) / (p + 1)) - math.log((c + 0.5) / (n + 1))
             kept.append((gain, min(6.0, weight), f))
-    kept.sort(key=lambda x: (-round(x[0], 6), x[2][0] == "b", -len(x[2][1]), x[2]))
+    kept.sort(key=lambda x: (-round(x[0], 6), x[2][0] == "b", -len(x[2]), x[2]))
     words, beginnings, longer = {}, {}, set()
-    for _, weight, (kind, f) in kept:
+    for _, weight, named in kept:
+        kind, f = named[0], named[1:]
         if len(words) + len(beginnings) >= most:
             break
         # a shorter beginning says as much, or a longer one says more
