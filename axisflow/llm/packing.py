@@ -256,7 +256,7 @@ def tokenized(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> D
         names = ["row", "_id", "tokens", "ids"]
         for batch in batches:
             kind = batch.column(0).type
-            for part in portions(batch, 4000, 10 << 20):
+            for part in portions(batch, 4000, 6 << 20):
                 encoded = [np.append(x, np.uint32(END)) for x in word_ids(vocabulary).encode([x or b"" for x in part.column(1).to_pylist()])]
                 seen = np.bincount(np.concatenate([np.unique(x) for x in encoded]), minlength=len(df))
                 seen[: len(df)] += df
@@ -289,7 +289,7 @@ def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     fields = [x.split()[0] for x in PIECES.split(", ")]
-    with small_batches(spark, 4000, "10m"):
+    with small_batches(spark, 4000, "6m"):
         tokens = written(tokenized(docs, vocabulary, id_col, text_col), "tokens")
     rows = tokens.filter("ids is not null")
     n, total = rows.agg(F.count(F.lit(1)), F.sum("tokens")).first()
@@ -347,7 +347,7 @@ def pack_by_retrieval(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     places, kind = ["k0", "k1", "k2", "row"], rows.schema["_id"].dataType.simpleString()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // part_tokens))
     some = rows.filter(F.pmod(F.xxhash64("row"), F.lit(max(1, n // min(20 * parts, sample)))) == 0).select("row", "ids")
-    with small_batches(spark, 4000, "10m"):
+    with small_batches(spark, 4000, "6m"):
         found = sorted(zip(*(c.to_pylist() for c in some.mapInArrow(lean(sampled), ", ".join(f"{c} long" for c in places)).toArrow().columns)))
         bounds = spark.sparkContext.broadcast([found[len(found) * k // parts] for k in range(1, parts)] if found else [])
         dealt = rows.select("row", "_id", "ids").mapInArrow(lean(placed), f"part int, {', '.join(f'{c} long' for c in places)}, _id {kind}, ids binary")

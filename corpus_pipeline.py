@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from axisflow.llm.mixing import mix_texts
 from axisflow.llm.packing import pack_by_retrieval
 from axisflow.llm.pii import fit_candidates, redact_pii
-from axisflow.llm.shared import written
+from axisflow.llm.shared import small_batches, written
 from axisflow.llm.shingle_join import similarity_classes
 from axisflow.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table that is written in small Arrow batches: whole documents take much memory in large ones."""
+    with small_batches(df.sparkSession):
+        return written(df, label)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores below 0.5; its words are learned from `labels`, as in the query."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
     scored = score_toxicity(docs, fit_toxicity(docs, labels), score_col="_axisflow_score")
-    return scored.filter("_axisflow_score < 0.5").select(docs.columns)
+    return settled(scored.filter("_axisflow_score < 0.5").select(docs.columns), "clean")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Documents without words have nothing to take and go; an empty table stays empty.
     """
-    out = mix_texts(docs.withColumn("_axisflow_row", F.xxhash64(*docs.columns)), "_axisflow_row").select(docs.columns)
+    out = settled(mix_texts(docs.withColumn("_axisflow_row", F.xxhash64(*docs.columns)), "_axisflow_row").select(docs.columns), "mixed")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
