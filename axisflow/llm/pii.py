@@ -1,10 +1,10 @@
 """Personal data: exact base formats, and further spans by boosted trees over candidates.
 
 DataFrame functions only. Generators of high recall propose spans that may overlap; gradient-boosted
-trees become conditional expressions over format and context features. They are trained on candidates of
-the corpus, which valid base spans label, and on synthetic ones of formats that have no base; thresholds,
-one a kind, are calibrated on candidates of other documents. Of overlapping candidates the best stays,
-and none that a base span overlaps.
+trees become conditional expressions over format and context features. They are trained on all candidates
+of the corpus that valid base spans label, counted by their features, and on synthetic ones of formats that
+have no base; thresholds, one a kind, are calibrated on candidates of other documents. Of overlapping
+candidates the best stays, and none that a base span overlaps.
 """
 
 from __future__ import annotations
@@ -163,19 +163,22 @@ def grow_tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: fl
     return best[1], best[2], grow_tree(x[left], g[left], h[left], depth - 1), grow_tree(x[~left], g[~left], h[~left], depth - 1)
 
 
-def tree_value(tree: Tree, row: np.ndarray) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree
+def tree_values(tree: Tree, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    left, out = x[:, tree[0]] <= tree[1], np.empty(len(x))
+    out[left], out[~left] = tree_values(tree[2], x[left]), tree_values(tree[3], x[~left])
+    return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = RATE) -> list[Tree]:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = RATE, weight: np.ndarray | float = 1.0) -> list[Tree]:
+    """Trees for rows that count `weight` times each."""
     z, trees = np.zeros(len(y)), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
-        tree = grow_tree(x, y - p, p * (1 - p), depth)
+        tree = grow_tree(x, weight * (y - p), weight * p * (1 - p), depth)
         trees.append(tree)
-        z += rate * np.array([tree_value(tree, r) for r in x])
+        z += rate * tree_values(tree, x)
     return trees
 
 
@@ -271,10 +274,9 @@ def synthetic_candidates(spark: SparkSession, seed: int, n: int) -> Labelled:
     return _SYNTHETIC.setdefault((seed, n), as_arrays(found))
 
 
-def shown_candidates(docs: DataFrame, sample: int, text_col: str, each: int = 8) -> Labelled:
-    """The same for candidates of the corpus, the first `each` of at most `sample` texts, those of the smallest hashes: within
-    a valid base span of the kind that shows theirs they are personal data, over spans of other kinds only they are none;
-    the rest tells nothing."""
+def with_shown(docs: DataFrame, text_col: str) -> DataFrame:
+    """`_text` and `_shown`, all candidates of the text with a label and their features: within a valid base span of the kind
+    that shows theirs they are personal data, over spans of other kinds only they are none; the rest tells nothing."""
 
     def labelled(c: Column) -> Column:
         shows = F.coalesce(*(F.when(c["kind"] == k, F.lit(v)) for k, v in SHOWN_BY.items()), F.lit(""))
@@ -284,28 +286,57 @@ def shown_candidates(docs: DataFrame, sample: int, text_col: str, each: int = 8)
         return F.struct(label.alias("y"), F.array(*(c[f] for f in FEATURES)).alias("x"))
 
     df = candidates(with_base(docs, text_col)).select("_text", F.transform("_candidates", labelled).alias("_shown"))
-    df = df.select("_text", F.slice(F.filter("_shown", lambda c: c["y"].isNotNull()), 1, each).alias("_shown"))
+    return df.select("_text", F.filter("_shown", lambda c: c["y"].isNotNull()).alias("_shown"))
+
+
+def shown_candidates(docs: DataFrame, sample: int, text_col: str, each: int = 8) -> Labelled:
+    """Examples to look at, one entry a candidate: the first `each` of at most `sample` texts, those of the smallest hashes.
+    Nothing is fitted to these; `counted_candidates` has those of every text."""
+    df = with_shown(docs, text_col).select("_text", F.slice("_shown", 1, each).alias("_shown"))
     # sorted rather than filtered, so that the candidates are worked out once
     found = df.select(F.when(F.size("_shown") > 0, F.xxhash64("_text")).alias("h"), "_shown").orderBy(F.asc_nulls_last("h")).limit(sample)
     return as_arrays(found.select("h", F.explode("_shown").alias("c")).select("h", "c.y", "c.x"))
 
 
-def fit_candidates(spark: SparkSession, docs: DataFrame | None = None, seed: int = 4, n: int = 3000, precision: float = 0.97, rarity: float = 5.0, sample: int = 3000, text_col: str = "text") -> tuple[tuple, dict[str, float]]:
+def counted_candidates(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All labelled candidates of all texts, counted where half, features and label agree: whether to fit with them, features,
+    label, and how many they are, in a fixed order.
+
+    Features are small whole numbers that the patterns bound (lengths below 200, the others counts within them or 0 and 1), so
+    these are few beside the candidates.
+    """
+    whole = F.transform("c.x", lambda v: v.cast("smallint"))
+    # explode_outer, since for explode Spark would test the candidates before, and work them out twice
+    found = with_shown(docs, text_col).select((F.pmod(F.xxhash64("_text"), F.lit(2)) == 0).alias("fit"), F.explode_outer("_shown").alias("c")).filter("c is not null")
+    table = found.select("fit", F.col("c.y").alias("y"), whole.alias("x")).groupBy("fit", "y", "x").agg(F.count("*").alias("n")).toArrow()
+    x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    fit, y, n = (table.column(c).to_numpy() for c in ("fit", "y", "n"))
+    order = np.lexsort((fit, y, *x.T))
+    return fit[order].astype(bool), x[order], y[order].astype(float), n[order]
+
+
+def fit_candidates(spark: SparkSession, docs: DataFrame | None = None, seed: int = 4, n: int = 3000, precision: float = 0.97, rarity: float = 5.0, text_col: str = "text") -> tuple[tuple, dict[str, float]]:
     """Trees, and a threshold for each kind: the lowest at which calibration candidates are right as often as `precision`.
 
-    Wrong ones count `rarity` times there: in a corpus they are more frequent than among these. At most n synthetic candidates and those of `sample` texts of the corpus; half of the texts of either are held back
-    for the thresholds. A kind of which none is right has no threshold, and adds nothing.
+    Wrong ones count `rarity` times there: in a corpus they are more frequent than among these. At most n synthetic candidates and
+    all labelled ones of the corpus; half of the texts of either are held back for the thresholds. Where the corpus has more than
+    the synthetic ones, each weighs as much less as makes both parts equal: otherwise formats without a base would count for nothing
+    in a large one. A kind of which none is right has no threshold, and adds nothing.
     """
-    parts = [synthetic_candidates(spark, seed, n), *([shown_candidates(docs, sample, text_col)] if docs is not None else [])]
-    fit, x, y = (np.concatenate(p) for p in zip(*parts))
-    trees = boost(x[fit], y[fit])
-    z = np.array([RATE * sum(tree_value(t, row) for t in trees) for row in x])
+    fit, x, y = synthetic_candidates(spark, seed, n)
+    x, weight = x.astype(np.int16), np.ones(len(y))
+    if docs is not None:
+        *shown, count = counted_candidates(docs, text_col)
+        share = min(1.0, len(y) / max(int(count.sum()), 1))
+        fit, x, y, weight = (np.concatenate(p) for p in zip((fit, x, y, weight), (*shown, count * share)))
+    trees = boost(x[fit], y[fit], weight=weight[fit])
+    z = RATE * sum(tree_values(t, x) for t in trees)
     thresholds = {}
     for k in MORE:
         own = np.flatnonzero(~fit & (x[:, 0] == KINDS.index(k)))
         order = own[np.argsort(-z[own], kind="stable")]
-        hits, misses = np.cumsum(y[order]), np.cumsum(1 - y[order])
-        right = hits / np.maximum(hits + rarity * misses, 1)
+        hits, misses = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
+        right = hits / (hits + rarity * misses)
         # at equal scores all of them count
         last = np.append(z[order][1:] < z[order][:-1], True)[: len(order)]
         good = np.flatnonzero((right >= precision) & last)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from axisflow.llm import html_templates, media, mixing, packing, pii, secrets, toxicity, warc
@@ -288,6 +289,49 @@ def test_planted_personal_data_is_found(spark):
     assert set(y) == {0.0, 1.0} and set(fit) == {True, False} and x.shape == (len(y), len(pii.FEATURES)) and len(y) <= 400
 
 
+def test_personal_data_is_learned_from_every_text(spark):
+    """No text is too late, and no candidate of a text, for trees and thresholds."""
+    rows = [(i, f"call +1 (212) 555-{i:04d} now" if i % 2 else f"card 4111 1111 1111 1111 of {i}") for i in range(3400)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    first = corpus.orderBy(F.xxhash64("text")).limit(3000).localCheckpoint()
+    assert pii.fit_candidates(spark, corpus) != pii.fit_candidates(spark, first)
+    # one text for the trees and one for the thresholds, with eight candidates each and with 400 more
+    head, rest = "call +1 (212) 555-0100 now " * 8, "card 4111 1111 1111 1111 too " * 400
+    numbered = lambda tail: spark.range(40).selectExpr("id as doc_id", f"concat('{head}{tail}', id) as text")
+    short, long = (spark.createDataFrame([numbered(tail).filter(f"pmod(xxhash64(text), 2) = {half}").first() for half in (0, 1)]) for tail in ("", rest))
+    assert pii.fit_candidates(spark, short) != pii.fit_candidates(spark, long)
+    fit, x, y, n = pii.counted_candidates(long, "text")
+    assert sorted(zip(fit, y, n)) == [(half, label, count) for half in (False, True) for label, count in ((0.0, 400), (1.0, 8))]
+
+
+def test_counts_of_personal_data_are_those_of_the_single_candidates(spark):
+    rng = random.Random(11)
+    piece = lambda: rng.choice([f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", f"10.{rng.randint(0, 300)}.3.{rng.randint(0, 99)}", "4111 1111 1111 1111", "a at b dot com x@y.zz", "words", f"{rng.randint(0, 10**9)}"])
+    rows = [(i, " and ".join(piece() for _ in range(rng.randint(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (501, "+1 (212) 555-0100 " * 3), (501, "+1 (212) 555-0100 " * 3)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fit, x, y, n = pii.counted_candidates(corpus, "text")
+    one = pii.shown_candidates(corpus, 1000, "text", each=1000)
+    assert Counter({(bool(a), bool(b), *map(int, v)): int(k) for a, v, b, k in zip(fit, x, y, n)}) == Counter((bool(a), bool(b), *map(int, v)) for a, v, b in zip(*one))
+    again = pii.counted_candidates(corpus.repartition(7), "text")
+    assert all((a == b).all() for a, b in zip((fit, x, y, n), again)) and pii.fit_candidates(spark, corpus.limit(0)) == pii.fit_candidates(spark)
+
+
+def test_a_large_corpus_leaves_formats_without_a_base_alone(spark):
+    corpus = spark.range(400).selectExpr("id as doc_id", "concat(repeat('call +1 (212) 555-0100 now ', 50), repeat('card 4111 1111 1111 1111 too ', 50), id) as text")
+    assert pii.counted_candidates(corpus, "text")[3].sum() == 40000
+    model = pii.fit_candidates(spark, corpus)
+    more = spark.createDataFrame([(1, "call (030) 123-4567 now; SSN 123-45-6789, IBAN DE89370400440532013000, mail abc(at)klm(dot)com. Born 1987-05-03, version 1.2.3")], "doc_id long, text string")
+    assert [s.split(":")[0] for s in pii.find_pii(more, model).first()["spans"].split(",")] == ["local_phone", "national_id", "iban", "spelled_email"]
+
+
+def test_weights_of_trees_are_repetitions():
+    rng = np.random.default_rng(3)
+    x, y, n = rng.integers(0, 9, (60, 3)), rng.integers(0, 2, 60).astype(float), rng.integers(1, 6, 60)
+    once, often = pii.boost(x, y, weight=n), pii.boost(np.repeat(x, n, axis=0), np.repeat(y, n))
+    for a, b in zip(once, often):
+        assert pii.tree_values(a, x) == pytest.approx(pii.tree_values(b, x))
+
+
 def test_trees_see_every_cut_point():
     x = np.arange(500.0).reshape(-1, 1)
     y = (x[:, 0] > 400).astype(float)
